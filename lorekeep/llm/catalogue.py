@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import components, neighbourhood, survivor
+from lorekeep.llm import components, neighbourhood, survivor, vectors
 from lorekeep.runtime import table
 
 
@@ -33,7 +33,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbourhood.memory_repeats(table(spark, d, "memories")).distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p1_found": p1_found, "p1_alias_truth": p1_alias_truth, "p3_found": p3_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Most similar memories of memories and entities of entities, by embedding."""
+    m = vectors.similar_pairs(table(spark, d, "memories", "id", "embedding"))
+    return m.unionByName(vectors.similar_pairs(table(spark, d, "entities", "id", "embedding")))
+
+
+QUERIES = {"p5_found": p5_found, "p4_found": p4_found, "p1_found": p1_found, "p1_alias_truth": p1_alias_truth, "p3_found": p3_found}
 
 ORACLES = {
     "p1_found": """
