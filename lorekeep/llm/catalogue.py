@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import components, neighbourhood, survivor, vectors
+from lorekeep.llm import components, names, neighbourhood, survivor, vectors
 from lorekeep.runtime import table
 
 
@@ -39,7 +39,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return m.unionByName(vectors.similar_pairs(table(spark, d, "entities", "id", "embedding")))
 
 
-QUERIES = {"p5_found": p5_found, "p4_found": p4_found, "p1_found": p1_found, "p1_alias_truth": p1_alias_truth, "p3_found": p3_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that are spellings of one and the same real entity."""
+    return names.variant_pairs(table(spark, d, "entities", "id", "name", "type", "aliases"))
+
+
+QUERIES = {"p6_found": p6_found, "p5_found": p5_found, "p4_found": p4_found, "p1_found": p1_found, "p1_alias_truth": p1_alias_truth, "p3_found": p3_found}
 
 ORACLES = {
     "p1_found": """
