@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import components, names, neighbourhood, survivor, vectors
+from lorekeep.llm import components, leakage, mixing, names, neighbourhood, subjects, survivor, vectors
 from lorekeep.runtime import table
 
 
@@ -44,7 +44,40 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "entities", "id", "name", "type", "aliases"))
 
 
-QUERIES = {"p6_found": p6_found, "p5_found": p5_found, "p4_found": p4_found, "p1_found": p1_found, "p1_alias_truth": p1_alias_truth, "p3_found": p3_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least eight consecutive words of an evaluation item."""
+    docs, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")
+    return leakage.leaked_items(docs, items).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All documents without the leaked passages; those that leaked for the most part are dropped."""
+    docs, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")
+    return leakage.without_leaks(docs, items)
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    return mixing.mix_sources(docs, table(spark, d, "mix_targets"), tokenizers=mixing.own_tokenizers(spark))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix of all sources: documents, copies and their places in the shards."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the mix that the sources reach."""
+    return _mix(spark, d)[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of every document."""
+    docs, labels = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "doc_labels", "doc_id", "subject")
+    return subjects.document_subjects(docs, labels).select("doc_id", "subject")
+
+
+QUERIES = {"p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p6_found": p6_found, "p5_found": p5_found, "p4_found": p4_found, "p1_found": p1_found, "p1_alias_truth": p1_alias_truth, "p3_found": p3_found}
 
 ORACLES = {
     "p1_found": """
@@ -70,6 +103,14 @@ WITH m0 AS (
   FROM e WHERE n > 1 AND c > 0
 )
 SELECT g AS group_key, field, id FROM r WHERE rn = 1""",
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, list_aggregate(w[k:k + 7], 'string_agg', ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, list_aggregate(w[k:k + 7], 'string_agg', ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     "p4_found": r"""
 WITH m AS (
   SELECT id, lower(trim(any_value(status))) AS st, CAST(any_value(timestamp) AS DATE) AS d,
