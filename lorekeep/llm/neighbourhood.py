@@ -40,7 +40,10 @@ SIMILARITY = 0.6
 LARGE = 48
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 64
 
-_KEYS = "cls binary, key long, n int, c int, pos int, kind int"
+# A key row is (class, key, meta); meta packs kind, position, frequent words and words into 2 + 3 x 20 bits, as these rows
+# make up most of the shuffle.
+_BITS = 20
+_MASK = (1 << _BITS) - 1
 
 
 def words_of(text):
@@ -99,16 +102,25 @@ def keys_of(words: list[str], frequent: dict[str, int], t: float = SIMILARITY) -
 
 
 def keyed(classes: DataFrame, frequent: dict[str, int], t: float = SIMILARITY) -> DataFrame:
-    """(cls, key, n, c, pos, kind): the sort keys of each class (columns cls, words)."""
+    """(cls, key, meta): the sort keys of each class (columns cls, words).  Sets beyond 2**20 words are refused."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for pdf in batches:
-            out = [(cls, *k) for cls, words in zip(pdf.cls, pdf.words, strict=True) for k in keys_of(list(words), table, t)]
-            yield pd.DataFrame(out, columns=["cls", "key", "n", "c", "pos", "kind"])
+            out = [
+                (cls, key, kind | pos << 2 | c << 2 + _BITS | n << 2 + 2 * _BITS)
+                for cls, words in zip(pdf.cls, pdf.words, strict=True)
+                for key, n, c, pos, kind in keys_of(list(words), table, t)
+            ]
+            yield pd.DataFrame(out, columns=["cls", "key", "meta"])
 
-    return classes.select("cls", "words").mapInPandas(run, _KEYS)
+    return classes.select("cls", "words").mapInPandas(run, f"cls {dict(classes.dtypes)['cls']}, key long, meta long")
+
+
+def _part(side: str, name: str):
+    at = {"pos": 2, "c": 2 + _BITS, "n": 2 + 2 * _BITS}[name]
+    return F.shiftright(f"{side}.meta", at).bitwiseAND(F.lit(_MASK).cast("long"))
 
 
 def windows(new: DataFrame, runs: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -118,19 +130,18 @@ def windows(new: DataFrame, runs: DataFrame, t: float = SIMILARITY) -> DataFrame
     the similarity go on.
     """
     x, y = new.alias("x"), runs.alias("y")
-    o = F.ceil(F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-9))
-    fits = (F.col("x.n") >= F.col("y.n") * t - 1e-9) & (F.col("y.n") >= F.col("x.n") * t - 1e-9)
-    triple = (
-        (o <= F.least("x.c", "y.c"))
-        & (F.col("x.pos") <= F.col("x.c") - o + 3)
-        & (F.col("y.pos") <= F.col("y.c") - o + 3)
-    )
-    single = (F.col("x.pos") <= F.col("x.n") - o + 1) & (F.col("y.pos") <= F.col("y.n") - o + 1)
-    large = F.greatest("x.n", "y.n") > LARGE
-    small = (F.col("x.kind") == 1) & triple | (F.col("x.kind") == 3) & (o < 3)
-    place = F.when(F.col("x.kind") == 0, single).when(F.col("x.kind") == 2, single & large).otherwise(small)
+    kind = F.col("x.meta").bitwiseAND(F.lit(3).cast("long"))
+    xn, xc, xp, yn, yc, yp = (_part(s, p) for s in "xy" for p in ("n", "c", "pos"))
+    o = F.ceil(F.lit(t / (1 + t)) * (xn + yn) - F.lit(1e-9))
+    fits = (xn >= yn * t - 1e-9) & (yn >= xn * t - 1e-9)
+    triple = (o <= F.least(xc, yc)) & (xp <= xc - o + 3) & (yp <= yc - o + 3)
+    single = (xp <= xn - o + 1) & (yp <= yn - o + 1)
+    large = F.greatest(xn, yn) > LARGE
+    small = (kind == 1) & triple | (kind == 3) & (o < 3)
+    place = F.when(kind == 0, single).when(kind == 2, single & large).otherwise(small)
+    same_kind = kind == F.col("y.meta").bitwiseAND(F.lit(3).cast("long"))
     return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cls") != F.col("y.cls")) & fits & place)
+        x.join(y, (F.col("x.key") == F.col("y.key")) & same_kind & (F.col("x.cls") != F.col("y.cls")) & fits & place)
         .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
         .distinct()
     )
@@ -154,11 +165,15 @@ def near_duplicate_classes(new: DataFrame, history: DataFrame, t: float = SIMILA
         .unionByName(history.select("cls", "words", F.lit(False).alias("is_new")))
         .groupBy("cls")
         .agg(F.any_value("words").alias("words"), F.max("is_new").alias("is_new"))
+        .select(F.col("cls").alias("print"), F.monotonically_increasing_id().alias("cls"), "words", "is_new")
     )
     frequent = frequent_words(every)
-    fresh = every.where("is_new")
-    pairs = windows(keyed(fresh, frequent, t), keyed(every, frequent, t), t)
-    return verify(pairs, every, t)
+    # running numbers, half as wide as fingerprints, stand for the classes in the keys
+    pairs = windows(keyed(every.where("is_new"), frequent, t), keyed(every, frequent, t), t)
+    near = verify(pairs, every, t)
+    a = every.select(F.col("cls").alias("a"), F.col("print").alias("pa"))
+    b = every.select(F.col("cls").alias("b"), F.col("print").alias("pb"))
+    return near.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "similarity")
 
 
 def memory_repeats(memories: DataFrame, t: float = SIMILARITY) -> DataFrame:
