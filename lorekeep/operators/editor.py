@@ -273,7 +273,7 @@ def merge_entities(g: Graph, merges: DataFrame, run: str | None = None) -> dict[
     def moved(df: DataFrame, ends: list[str], keys: list[str]) -> DataFrame:
         out = df.withColumn("__moved", F.lit(0))
         for c in ends:
-            out = out.join(to.withColumnRenamed("from", c).withColumnRenamed("dst_id", "__to"), c, "left")
+            out = out.join(to.select(F.col("from").alias(c), F.col("dst_id").alias("__to")), c, "left")
             out = out.withColumn("__moved", F.when(F.col("__to").isNotNull(), 1).otherwise(F.col("__moved")))
             out = out.withColumn(c, F.coalesce("__to", c)).drop("__to")
         w = Window.partitionBy(*keys).orderBy("__moved", *[c for c in df.columns if c not in keys])
@@ -321,7 +321,7 @@ def boosts(batch: DataFrame, boost: float = schema.BOOST) -> DataFrame:
     b = batch.where("sessionid is not null").withColumn("key", key)
     many = b.groupBy("key").agg(F.min("sessionid").alias("s0"), F.max("sessionid").alias("s1")).where("s0 <> s1").select("key")
     up = b.join(many, "key", "left_semi").where("not coalesce(sessionboosted, false)")
-    return up.select("id", F.least(F.lit(1.0), F.col("confidence") + boost).alias("confidence"))
+    return up.select("id", F.when(F.col("confidence").isNotNull(), F.least(F.lit(1.0), F.col("confidence") + boost)).alias("confidence"))
 
 
 def decays(memories: DataFrame, day, decay: float = schema.DECAY, floor: float = schema.FLOOR) -> DataFrame:

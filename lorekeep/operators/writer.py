@@ -138,8 +138,10 @@ def write_facts(facts: DataFrame, memories: DataFrame, least: float = schema.RES
         return pd.DataFrame(rows, columns=["fact_id", "outcome", "similarity"])
 
     kind = dict(facts.dtypes)["fact_id"]
-    f = facts.select("sessionid", "fact_id", "pos", "writekey", "embedding")
-    return f.groupBy("sessionid").cogroup(live.groupBy("sessionid")).applyInPandas(fold, f"fact_id {kind}, outcome string, similarity double")
+    # fresh column identities: both sides may come from one table
+    f = facts.select("sessionid", "fact_id", "pos", "writekey", "embedding").toDF("sid", "fact_id", "pos", "writekey", "embedding")
+    live = live.toDF("sid2", "writekey", "embedding")
+    return f.groupBy("sid").cogroup(live.groupBy("sid2")).applyInPandas(fold, f"fact_id {kind}, outcome string, similarity double")
 
 
 def upsert_entities(entities: DataFrame, seen: DataFrame) -> DataFrame:
