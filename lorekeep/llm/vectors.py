@@ -53,19 +53,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable_vectors(df: DataFrame, ident: str, embedding: str, dims: int) -> DataFrame:
-    """(id, v): one row per id whose vector has ``dims`` finite values, not all zero."""
+    """(id, v): the rows whose vector has ``dims`` finite values, not all zero; ids may repeat."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(ident).cast("string").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & (F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0)).dropDuplicates(["id"])
+    return rows.where(F.col("id").isNotNull() & (F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0))
 
 
 def neighbours(
-    vectors: DataFrame, dims: int, k: int = 5, min_cosine: float = 0.9, margin: float = 0.06, ef: int = 12
+    vectors: DataFrame, dims: int, k: int = 5, min_cosine: float = 0.9, margin: float = 0.055, ef: int = 12
 ) -> DataFrame:
     """(id, nbr, cosine): up to ``k`` most similar others with at least ``min_cosine`` of each id, ties by smaller id.
 
-    ``vectors``: (id, v) with distinct, finite, non-zero vectors.  Approximate: see the module text.
+    ``vectors``: (id, v), finite and non-zero; a vector belongs to one id only, whose rows may repeat.  Read three
+    times and shuffled once.  Approximate: see the module text.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -123,9 +124,9 @@ def neighbours(
         ids = np.array(t.column("id").to_pylist(), dtype=object)
         raw = _matrix(t.column("v"), dims)
         u = _unit(raw)
-        mine = np.flatnonzero(own)
-        mine = mine[np.argsort(ids[mine])]  # ties go to the smaller id
-        asks = np.flatnonzero(~own)
+        once = lambda at: at[np.unique(ids[at].astype(str), return_index=True)[1]]
+        mine = once(np.flatnonzero(own))  # in order of id: ties go to the smaller one
+        asks = once(np.flatnonzero(~own))
         a, b = [], []
         if len(mine):
             graph = Graph(u[mine])
@@ -163,13 +164,21 @@ def similar_pairs(
     once; copies of a vector are each other's most similar (ties by smaller id).  Empty tables give no pair.
     """
     rows = usable_vectors(df, ident, embedding, dims)
-    classes = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    near = neighbours(classes.select("id", "v"), dims, k, min_cosine)
-    copied = classes.where("n > 1").select("v", F.col("id").alias("rep"), "n")
+    print_ = F.struct(F.xxhash64("v").alias("x"), F.xxhash64("v", F.lit(1)).alias("y"))  # 128 bits for a vector
+    # copies are found on fingerprints, so that whole vectors are shuffled once only, to their shards
+    seen = rows.select("id", print_.alias("h")).distinct()
+    several = cut(seen.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("last")).where("h <> last").select("id", "h"))
+    if not several.isEmpty():  # an id delivered with different vectors keeps one
+        keep = several.withColumnRenamed("h", "keep")
+        rows = rows.join(keep, "id", "left").where(F.col("keep").isNull() | (print_ == F.col("keep"))).select("id", "v")
+        seen = rows.select("id", print_.alias("h")).distinct()
+    copied = cut(seen.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("h", "rep"))
     if copied.isEmpty():
-        pairs = near.select(F.least("id", "nbr").alias("id_a"), F.greatest("id", "nbr").alias("id_b"))
-        return pairs.distinct()
-    member = cut(rows.join(copied, "v").select("rep", "id"))
+        near = neighbours(rows, dims, k, min_cosine)
+        return near.select(F.least("id", "nbr").alias("id_a"), F.greatest("id", "nbr").alias("id_b")).distinct()
+    member = cut(seen.join(copied, "h").select("rep", "id"))
+    rows = rows.join(member.where("id <> rep").select("id"), "id", "left_anti")
+    near = cut(neighbours(rows, dims, k, min_cosine))
     first = (
         member.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
         .groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("few"))
@@ -183,7 +192,8 @@ def similar_pairs(
             F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("neg"), "other"))), 1, k), lambda t: t["other"]
         ).alias("others")
     )
-    everyone = classes.select(F.col("id").alias("rep"), F.col("id")).where("n = 1").unionByName(member)
+    single = near.select(F.col("id").alias("rep"), "id").distinct().join(member.select("rep"), "rep", "left_anti")
+    everyone = single.unionByName(member)
     top = (
         everyone.join(others, "rep", "left").join(first, "rep", "left")
         .select(
