@@ -58,7 +58,7 @@ def _set_of(items: DataFrame, ident: str, text: str, n: int) -> NgramSet:
     total = words.agg(F.sum("w")).first()[0] or 0
     if total > MOST:
         raise ValueError(f"{total} words of test material; the broadcast set is made for {MOST} at most")
-    return NgramSet([(r[0], r[1]) for r in items.select(ident, text).where(F.col(text).isNotNull()).collect()], n)
+    return NgramSet([(r[0], r[1]) for r in items.select(ident, text).where(F.col(text).isNotNull() & F.col(ident).isNotNull()).collect()], n)
 
 
 def leaked_items(
@@ -66,7 +66,7 @@ def leaked_items(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows): items of which the document holds at least ``n`` consecutive words, with the number of hits.
 
-    Items that share the text each have a row; texts and items shorter than ``n`` words and null texts have none.
+    Items that share the text each have a row; texts and items shorter than ``n`` words, null texts and null ids have none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_set_of(items, item_id, text, n))
 
@@ -84,7 +84,7 @@ def leaked_items(
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_windows"])
 
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}, n_windows long"
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
 
 
 def without_leaks(
@@ -93,7 +93,8 @@ def without_leaks(
 ) -> DataFrame:
     """(doc_id, n_spans, n_cut, text): documents without the leaked passages; each maximal leaked span becomes one space.
 
-    A document of which more than ``drop_share`` of the characters leaked is dropped whole.  Null texts pass unchanged.
+    A document of which more than ``drop_share`` of the characters leaked is dropped whole.  Null texts pass unchanged,
+    documents without an id are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_set_of(items, item_id, text, n))
 
@@ -119,4 +120,4 @@ def without_leaks(
             yield pd.DataFrame(out, columns=["doc_id", "n_spans", "n_cut", "text"])
 
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, n_spans int, n_cut long, text string"
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)

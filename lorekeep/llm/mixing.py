@@ -47,7 +47,7 @@ def encoding(path: str):
 
 
 def token_counts(docs: DataFrame, ident: str, source: str, text: str, path: str) -> DataFrame:
-    """(id, source, n_tokens): tokens of each document's whole text; null texts have 0, sources are cleaned."""
+    """(id, source, n_tokens): tokens of each document's whole text; null texts have 0, sources are cleaned, documents without an id left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoding(path)
@@ -56,7 +56,7 @@ def token_counts(docs: DataFrame, ident: str, source: str, text: str, path: str)
             yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "n_tokens": n})
 
     kind = dict(docs.dtypes)[ident]
-    return docs.select(F.col(ident).alias("id"), clean(F.col(source)).alias("source"), F.col(text).alias("t")).mapInPandas(
+    return docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), clean(F.col(source)).alias("source"), F.col(text).alias("t")).mapInPandas(
         run, f"id {kind}, source string, n_tokens long"
     )
 

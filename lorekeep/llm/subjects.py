@@ -111,7 +111,7 @@ def sentence_hits(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame(out, columns=["id", "n", "lens", "terms"])
 
     kind = dict(docs.dtypes)[ident]
-    return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(
+    return docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(
         run, f"id {kind}, n int, lens array<int>, terms array<array<string>>"
     )
 
@@ -202,7 +202,7 @@ def calibrate(shares: DataFrame, labels: DataFrame, ident: str = "doc_id") -> di
 def document_subjects(docs: DataFrame, labels: DataFrame | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id column, subject, share): every subject whose share of sentences reaches its threshold.
 
-    Null, empty and wordless texts have no row; other columns are ignored.
+    Null, empty and wordless texts and null ids have no row; other columns are ignored.
     """
     shares = cut(subject_shares(docs, ident, text))
     limit = calibrate(shares, labels, ident) if labels is not None else dict.fromkeys(SUBJECTS, NOMINAL)
