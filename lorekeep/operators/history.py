@@ -63,6 +63,7 @@ def _versions_of_key(starts: list[int], hashes: list[str], ends: list[int | None
     return sorted(out)
 
 
+_NEVER = (1 << 63) - 1
 #: Rows of one key turned into bitmaps at a time; longer keys are taken in such blocks and stitched alike.
 BLOCK = 4096
 
@@ -118,7 +119,7 @@ def _local_versions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             elif len(held) >= BLOCK:
                 flush()
             key = (ent, att)
-            held.append((int(start), h, value, None if pd.isna(end) else int(end), pid))
+            held.append((int(start), h, value, None if end == _NEVER else int(end), pid))
         # rows of the latest key stay back: whether it is the last one is known only later
         ready = [r for r in out if r[10] != n_keys - 1]
         if len(ready) > 50_000:
@@ -171,7 +172,8 @@ def attribute_history(
     )
     n = partitions(updates.sparkSession)
     placed = cut(
-        latest.repartitionByRange(n, "ent", "att", "start_us")
+        latest.withColumn("end_us", F.coalesce("end_us", F.lit(_NEVER)))  # a long with nulls would pass through floats
+        .repartitionByRange(n, "ent", "att", "start_us")
         .sortWithinPartitions("ent", "att", "start_us")
         .withColumn("pid", F.spark_partition_id())
     )

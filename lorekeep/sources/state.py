@@ -28,9 +28,9 @@ class GraphState:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _pointer(self) -> dict:
-        if not self._fs.exists(self._at("_POINTER.json")):
+        if not self._fs.exists(self._at("pointer.json")):
             return {"version": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/_POINTER.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/pointer.json", wholetext=True).first()[0])
 
     def init_schema(self) -> None:
         """Create the folder; doing so again changes nothing."""
@@ -58,12 +58,12 @@ class GraphState:
         if self._pointer()["version"] != before["version"]:
             raise RuntimeError("another writer committed meanwhile")
         new = {"version": before["version"] + 1, "tables": before["tables"] | done}
-        tmp = self._at(f"_POINTER.{uuid4().hex[:8]}")
+        tmp = self._at(f"pointer.{uuid4().hex[:8]}")
         out = self._fs.create(tmp, False)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        self._fs.delete(self._at("_POINTER.json"), False)
-        self._fs.rename(tmp, self._at("_POINTER.json"))
+        self._fs.delete(self._at("pointer.json"), False)
+        self._fs.rename(tmp, self._at("pointer.json"))
         return new["version"]
 
     def violations(self) -> dict[str, int]:
