@@ -145,7 +145,7 @@ def conversation_scores(answers: DataFrame) -> DataFrame:
 
 def evidence_recall(questions: DataFrame, found: DataFrame) -> DataFrame:
     """(id, evidence): share of a question's evidence sessions (``D3:7`` is session 3) among its retrieved ones (id, sessions)."""
-    s = F.array_distinct(F.transform("evidence", lambda e: F.regexp_extract(e, r"^D(\d+)", 1).cast("int")))
+    s = F.array_distinct(F.transform("evidence", lambda e: F.regexp_extract(e, r"^D(\d+)", 1).try_cast("int")))
     q = questions.select("id", F.filter(s, lambda x: x.isNotNull()).alias("want")).where("size(want) > 0")
     return q.join(found, "id", "left").select("id", (F.size(F.array_intersect("want", F.coalesce("sessions", F.array().cast("array<int>")))) / F.size("want")).alias("evidence"))
 
