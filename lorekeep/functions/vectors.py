@@ -84,8 +84,10 @@ def similar_to(queries: DataFrame, rows: DataFrame, least: float, ident: str = "
     return src.mapInPandas(run, f"q {qt}, id {rt}, cosine double")
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, ident: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(q, id, cosine, rank): the k rows most similar to each query, ties by smaller id; exact.
+def top_k(
+    queries: DataFrame, rows: DataFrame, k: int, ident: str = "id", embedding: str = "embedding", weight: Column | None = None
+) -> DataFrame:
+    """(q, id, score, rank): the k best rows of each query by cosine, or by cosine x ``weight``; ties by smaller id; exact.
 
     Every batch of rows passes on its own best k per query, so at most k rows per query and batch are shuffled.
     """
@@ -98,19 +100,27 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, ident: str = "id", embedd
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
-            x, names = _unit(pdf["v"]), pdf["id"].to_numpy()
-            order = np.argsort(names.astype(str), kind="stable")
-            x, names = x[order], names[order]
+            order = np.argsort(pdf["id"].to_numpy().astype(str), kind="stable")
+            x, w, names = _unit(pdf["v"])[order], pdf["w"].to_numpy()[order], pdf["id"].to_numpy()[order]
             for s in range(0, len(ids), BLOCK):
-                g = m[s : s + BLOCK] @ x.T
-                top = np.argsort(-g, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame(
-                    {"q": np.repeat(ids[s : s + BLOCK], top.shape[1]), "id": names[top].ravel(), "cosine": np.take_along_axis(g, top, 1).ravel()}
-                )
-
-    src = rows.select(F.col(ident).alias("id"), F.col(embedding).alias("v"))
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
-    return src.mapInPandas(run, f"q {qt}, id {rt}, cosine double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                g = (m[s : s + BLOCK] @ x.T) * w
+                # all rows as good as the k-th are kept in sight, so that ties go to the smaller id
+                if g.shape[1] > 4 * k:
+                    bar = -np.partition(-g, k - 1, axis=1)[:, k - 1 : k]
+                    a, b = np.nonzero(g >= bar)
+                    o = np.lexsort((b, -g[a, b], a))
+                    a, b = a[o], b[o]
+                    first = np.searchsorted(a, np.arange(len(g)))
+                    keep = np.arange(len(a)) - first[a] < k
+                    a, b = a[keep], b[keep]
+                else:
+                    top = np.argsort(-g, axis=1, kind="stable")[:, :k]
+                    a, b = np.repeat(np.arange(len(g)), top.shape[1]), top.ravel()
+                yield pd.DataFrame({"q": [ids[s + i] for i in a], "id": names[b], "score": g[a, b]})
+
+    src = rows.select(F.col(ident).alias("id"), F.col(embedding).alias("v"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return src.mapInPandas(run, f"q {qt}, id {rt}, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @F.pandas_udf(T.StringType())

@@ -29,15 +29,12 @@ def seeds(g: Graph, queries: DataFrame, as_of, limit: int = 10, overfetch: bool
     n, now = seed_count(limit), F.lit(as_of).cast("timestamp")
     m = g.memory.where(vectors.usable(F.col("embedding"), dims))
     ok = ~F.col("status").isin("archived", "suppressed") & (F.col("expiresat").isNull() | (F.col("expiresat") >= now))
-    if overfetch:
-        hits = vectors.top_k(queries, m, 3 * n).drop("rank")
-    else:
-        hits = vectors.similar_to(queries, m.where(F.coalesce(ok, F.lit(True))), -1.01)
-    side = m.where(F.coalesce(ok, F.lit(True))).select("id", "confidence", "salience", "validto")
-    scored = hits.join(side, "id").select(
-        "q", "id",
-        (scoring.base_score(F.col("cosine"), F.nanvl("confidence", F.lit(None)), F.col("salience")) * scoring.validity(F.col("validto"), now)).alias("score"),
-    )
+    weight = scoring.base_score(F.lit(1.0), F.nanvl("confidence", F.lit(None)), F.col("salience")) * scoring.validity(F.col("validto"), now)
+    live = m.where(F.coalesce(ok, F.lit(True)))
+    if not overfetch:  # the weight is the row's own, so each batch of rows ranks by the final score at once
+        return vectors.top_k(queries, live, n, weight=weight).select("q", "id", "score")
+    hits = vectors.top_k(queries, m, 3 * n).select("q", "id", F.col("score").alias("cosine"))
+    scored = hits.join(live.select("id", weight.alias("w")), "id").select("q", "id", (F.col("cosine") * F.col("w")).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 

@@ -116,8 +116,8 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     """Exact nearest vectors of every twentieth one, among all."""
     e = table(spark, d, "embeddings", F.col("vec_id").alias("id"), "embedding")
     hits = vectors.top_k(e.where("id % 20 = 0"), e, 6).where("q <> id")
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q", "id", F.round("cosine", 6).alias("cosine"), "rank")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("q", "id", F.round("score", 6).alias("cosine"), "rank")
 
 
 @query("""
