@@ -50,8 +50,7 @@ def _unit(rows) -> np.ndarray:
 
 
 def _query_block(queries: DataFrame, ident: str, embedding: str) -> tuple[list, np.ndarray]:
-    n = queries.count()
-    width = queries.agg(F.max(F.size(embedding))).first()[0] or 0
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(0))).first()
     if n * width > QUERY_VALUES:
         raise ValueError(f"{n} queries of {width} values; take them in several calls of at most {QUERY_VALUES // max(1, width)} rows")
     rows = queries.select(ident, embedding).collect()

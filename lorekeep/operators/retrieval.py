@@ -79,7 +79,7 @@ def retrieve(g: Graph, queries: DataFrame, as_of, limit: int = 10, categories: D
 
     ``categories`` (category names) restricts the memories first.  Queries without usable vectors have no rows.
     """
-    q = queries.where(vectors.usable(F.col("embedding")))
+    q = cut(queries.where(vectors.usable(F.col("embedding"))).select("id", "embedding"))
     if categories is not None:
         own = g.in_category.join(categories, "category", "left_semi").select(F.col("memory_id").alias("id"))
         g = Graph(**(g.tables() | {"memory": g.memory.join(own, "id", "left_semi")}))
