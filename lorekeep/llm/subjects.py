@@ -27,18 +27,34 @@ NOMINAL, LOWEST, HIGHEST = 0.25, 0.20, 0.30
 DENSITY = 0.045
 LOOSE_WEIGHT = 0.5
 
-#: Sentences end at . ! or ? before white space, or with the line.  A line's lead-in is no part of its sentence.
-_LINE = re.compile(r"[^\n]+")
-_LEAD = re.compile(r"^\s*(?:[-*>#]+\s+|\[\w+\]:\s*|seq=\d+(?:\s+\w+=\S+)*\s+(?:reason:)?\s*|</?[\w-]+>\s*)*")
+#: Sentences end at . ! or ? before white space, at a blank line, and before a line that opens a list item, a turn or a log
+#: entry.  Other line breaks are wraps.  Lead-ins, quotation marks of mail and table bars are no part of a sentence.
+_LEAD = re.compile(r"^\s*(?:[-*>#|]+\s+|\d+[.)]\s+|\[\w+\]:\s*|seq=\d+(?:\s+\w+=\S+)*\s+(?:reason:)?\s*|</?[\w-]+>\s*)*")
+_WRAP = re.compile(r"[>|\s]*")
 _STOP = re.compile(r"(?<=[.!?])[\"”’)]*\s+")
+_DONE = re.compile(r"[.!?][\"”’)]*\s*$")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _blocks(text: str) -> Iterator[str]:
+    held: list[str] = []
+    for line in text.split("\n"):
+        lead = _LEAD.match(line).group()
+        rest = line[len(lead) :].rstrip(" |\t\r")
+        if held and (not rest or not _WRAP.fullmatch(lead) or _DONE.search(held[-1])):
+            yield " ".join(held)
+            held = []
+        if rest:
+            held.append(rest)
+    if held:
+        yield " ".join(held)
+
+
 def sentences(text: str) -> Iterator[str]:
-    """Sentences of at least two words."""
-    for line in _LINE.finditer(text):
-        for s in _STOP.split(_LEAD.sub("", line.group())):
-            if len(_WORD.findall(s)) >= 2:
+    """Sentences of at least two words; a remark in brackets alone is none."""
+    for block in _blocks(text):
+        for s in _STOP.split(block):
+            if len(_WORD.findall(s)) >= 2 and not (s.startswith("(") and s.rstrip(" .").endswith(")")):
                 yield s
 
 
@@ -86,7 +102,7 @@ def hits(sentence: str, automaton) -> list[str]:
         if _ends(low, end + 1) < 0:
             continue
         before = sentence[:start].rstrip().rpartition(" ")
-        if before[1] and before[2][:1].isupper() and before[2][-1:].isalnum() and start == len(sentence[:start].rstrip()) + 1:
+        if before[1] and before[2][:1].isupper() and before[2][1:].islower() and start == len(sentence[:start].rstrip()) + 1:
             continue
         found.append((start, end, t))
     return [t for s, e, t in found if not any(a <= s and e <= b for a, b in void)]
