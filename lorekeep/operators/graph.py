@@ -72,25 +72,31 @@ def active_embeddings(g: Graph) -> DataFrame:
 
 
 def category_members(g: Graph) -> DataFrame:
-    """Each category with its members in order of time; empty categories stay."""
+    """(name, memory_id, timestamp, content): members of each category; an empty category has one row without a member.
+
+    One row per membership: a category may hold a large share of all memories, so no list is gathered.
+    """
     m = g.in_category.join(g.memory.select(F.col("id").alias("memory_id"), "timestamp", "content"), "memory_id")
-    listed = m.groupBy(F.col("category").alias("name")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "content", "memory_id"))), lambda t: t["memory_id"]).alias("members")
-    )
-    return g.category.select("name").join(listed, "name", "left").withColumn("members", F.coalesce("members", F.array().cast("array<string>")))
+    return g.category.select("name").join(m.select(F.col("category").alias("name"), "memory_id", "timestamp", "content"), "name", "left")
+
+
+def category_sizes(g: Graph) -> DataFrame:
+    """(name, n_members, first_id): size and earliest member of each category."""
+    return category_members(g).groupBy("name").agg(F.count("memory_id").alias("n_members"), F.min_by("memory_id", F.struct("timestamp", "content", "memory_id")).alias("first_id"))
 
 
-def shared_entity_groups(g: Graph) -> DataFrame:
-    """(entity_id, members, n): active memories of each entity with more than one, in order of time."""
+def shared_entities(g: Graph) -> DataFrame:
+    """(entity_id, n, first_id): entities that several active memories mention, with the earliest of these."""
     m = g.memory.where(is_active()).select(F.col("id").alias("memory_id"), "timestamp")
-    return (
-        g.mentions.select("memory_id", "entity_id").distinct().join(m, "memory_id").groupBy("entity_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "memory_id"))), lambda t: t["memory_id"]).alias("members"),
-        )
-        .where("n > 1")
-    )
+    per = g.mentions.select("memory_id", "entity_id").distinct().join(m, "memory_id").groupBy("entity_id")
+    return per.agg(F.count(F.lit(1)).alias("n"), F.min_by("memory_id", F.struct("timestamp", "memory_id")).alias("first_id")).where("n > 1")
+
+
+def shared_entity_groups(g: Graph, most: int | None = None) -> DataFrame:
+    """(entity_id, n, memory_id): active memories of each entity with more than one (and at most ``most``), one row each."""
+    e = shared_entities(g).where(F.lit(True) if most is None else F.col("n") <= most).select("entity_id", "n")
+    live = g.memory.where(is_active()).select(F.col("id").alias("memory_id"))
+    return g.mentions.select("memory_id", "entity_id").distinct().join(live, "memory_id", "left_semi").join(e, "entity_id").select("entity_id", "n", "memory_id")
 
 
 def first_samples(rows: DataFrame, keys: list[str], content: str, n: int = 3) -> DataFrame:

@@ -25,15 +25,16 @@ def query(sql: str | None = None):
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a source as the turns of a conversation each author had that day."""
-    t = table(spark, d, "documents", "doc_id", "text", "lang", "sourceauthor").where("sourceauthor is not null and text is not null")
+    """Documents as the turns of a conversation that each author had that day."""
+    t = table(spark, d, "documents", "doc_id", "text", "observedat", "sourceauthor").where("sourceauthor is not null and text is not null")
+    conv = F.concat_ws("|", "sourceauthor", F.date_format("observedat", "yyyy-MM-dd"))
     role = F.element_at(F.array(F.lit("user"), F.lit("assistant"), F.lit("system")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return t.select(F.col("sourceauthor").alias("conv_id"), F.col("doc_id").alias("turn"), role.alias("role"), "text")
+    return t.select(conv.alias("conv_id"), F.col("doc_id").alias("turn"), role.alias("role"), "text")
 
 
 @query(r"""
 , t AS (
-  SELECT sourceauthor AS conv, doc_id, ['user', 'assistant', 'system'][doc_id % 3 + 1] AS role,
+  SELECT concat_ws('|', sourceauthor, strftime(observedat, '%Y-%m-%d')) AS conv, doc_id, ['user', 'assistant', 'system'][doc_id % 3 + 1] AS role,
     trim(regexp_replace(regexp_replace(text, '(?s)<graph-memories>.*?</graph-memories>', '', 'g'), '(?s)<relevant-memories>.*?</relevant-memories>', '', 'g')) AS x
   FROM documents WHERE sourceauthor IS NOT NULL AND text IS NOT NULL),
 l AS (SELECT conv, doc_id, '[' || role || ']: ' || CASE WHEN length(x) > 600 THEN substring(x, 1, 600) || '... [truncated]' ELSE x END AS line

@@ -55,15 +55,23 @@ SELECT normalizedkind AS name, count(*) AS n_members, arg_min(id, (coalesce(time
 WHERE normalizedkind IS NOT NULL GROUP BY 1""")
 def category_members(spark: SparkSession, d: str) -> DataFrame:
     """Categories with the number of their members and the earliest of them."""
-    m = gr.category_members(load_graph(spark, d))
-    return m.select("name", F.size("members").cast("long").alias("n_members"), F.col("members")[0].alias("first_id"))
+    return gr.category_sizes(load_graph(spark, d))
 
 
 @query("""
 SELECT men.entity_id, count(*) AS n, arg_min(memory_id, (coalesce(timestamp, TIMESTAMP '0001-01-01'), memory_id)) AS first_id
 FROM men JOIN live ON live.id = men.memory_id GROUP BY 1 HAVING count(*) > 1""")
 def shared_entity_groups(spark: SparkSession, d: str) -> DataFrame:
-    return gr.shared_entity_groups(load_graph(spark, d)).select("entity_id", "n", F.col("members")[0].alias("first_id"))
+    """Entities that several active memories mention."""
+    return gr.shared_entities(load_graph(spark, d))
+
+
+@query("""
+, n AS (SELECT men.entity_id, count(*) AS n FROM men JOIN live ON live.id = men.memory_id GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30)
+SELECT n.entity_id, n, memory_id FROM n JOIN men ON men.entity_id = n.entity_id JOIN live ON live.id = men.memory_id""")
+def shared_entity_members(spark: SparkSession, d: str) -> DataFrame:
+    """Active memories of each entity that is shared but no hub."""
+    return gr.shared_entity_groups(load_graph(spark, d), schema.HUB)
 
 
 @query("""
