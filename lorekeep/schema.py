@@ -85,7 +85,7 @@ PRICES = {
     "claude-opus-5-5": (4.0, 20.0), "claude-sonnet-4-6": (3.0, 15.0),
 }
 EMBEDDING_DIMS = {
-    "voyage-4-lite": 1024, "voyage-4": 1024, "voyage-3-large": 1024, "voyage-3.5": 1024, "voyage-3.5-lite": 1024, "voyage-3-lite": 512,
+    "voyage-4-lite": 1024, "voyage-4": 1024, "voyage-4-large": 1024, "voyage-code-3": 1024, "voyage-3-lite": 512, "voyage-3": 1024,
     "text-embedding-3-small": 1536, "text-embedding-3-large": 3072,
 }
 
