@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     what.add_argument("--runs", action="store_true")
     what.add_argument("--rollback", metavar="RUN")
     what.add_argument("--search", metavar="MEMORY", help="memories similar to the given one")
+    p.add_argument("--batch", type=int, help=f"memories a run; {schema.BATCH}, with --all {schema.BATCH_ALL}")
     p.add_argument("--limit", type=int, default=8)
     p.add_argument("--force", action="store_true", help="roll back although later runs exist")
     return p
@@ -30,6 +31,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     a = p.parse_args(argv)
     if a.all and a.step:
         p.error("--all with --step never ends: a single step leaves its batch raw")
+    if a.batch is not None and a.batch < 1:
+        p.error("--batch takes a number from 1")
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or SparkSession.builder.appName("lorekeep").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     state, now = GraphState(spark, a.state), datetime.now(UTC).replace(tzinfo=None)
     steps = (a.step,) if a.step else schema.STEPS
-    run = lambda i=0: pipeline.Run(f"run-{now:%Y%m%dT%H%M%S}-{i}", now, steps=steps)
+    batch = a.batch or (schema.BATCH_ALL if a.all else schema.BATCH)
+    run = lambda i=0: pipeline.Run(f"run-{now:%Y%m%dT%H%M%S}-{i}", now, batch=batch, steps=steps)
     if a.stats:
         graph.graph_stats(state.graph()).show(truncate=False)
     elif a.runs:
@@ -58,6 +62,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.all:
         for c in pipeline.run_all(state, run):
             print(c)
+        if left := pipeline.raw_count(state):
+            print(f"{left} memories stay raw: the last run changed none of them", file=sys.stderr)
+            return 1
     else:
         print(pipeline.run_once(state, run()))
     return 0

@@ -76,8 +76,9 @@ def similar_to(queries: DataFrame, rows: DataFrame, least: float, ident: str = "
             for s in range(0, len(ids), BLOCK):
                 g = m[s : s + BLOCK] @ x.T
                 a, b = np.nonzero((g >= least) & (g < below))
-                out = pd.DataFrame({"q": [ids[s + i] for i in a], "id": names[b], "cosine": g[a, b]})
-                yield out[out.q != out.id]
+                hits = [(ids[s + i], names[j], g[i, j]) for i, j in zip(a, b, strict=True) if ids[s + i] != names[j]]
+                if hits:
+                    yield pd.DataFrame(hits, columns=["q", "id", "cosine"])
 
     src = rows.select(F.col(ident).alias("id"), F.col(embedding).alias("v"))
     return src.mapInPandas(run, f"q {qt}, id {rt}, cosine double")

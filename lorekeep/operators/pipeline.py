@@ -62,6 +62,10 @@ class Run:
         """Only a run of all steps marks its batch as reviewed, unless told otherwise."""
         return set(self.steps) == set(schema.STEPS) if self.mark_reviewed is None else self.mark_reviewed
 
+    def most(self, pairs: int) -> int:
+        """A cap of ``pairs`` per ``schema.BATCH`` memories, for this run's batch: larger batches ask no less than small ones."""
+        return pairs * max(1, -(-self.batch // schema.BATCH))
+
 
 def _set(df: DataFrame, new: DataFrame, *columns: str) -> DataFrame:
     """``df`` with ``columns`` replaced where ``new`` (id, columns) has a row."""
@@ -128,7 +132,7 @@ def contradictions(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFrame]
     if run.providers.conflicts is None:
         return {"memory": g.memory}
     cur = cut(gr.current_memories(g).where(vectors.usable(F.col("embedding"), run.thresholds.dims)).select("id", "status", "embedding", "entity_ids"))
-    p = cut(run.providers.conflicts.ask(ed.conflict_candidates(batch, cur, gr.conflict_links(g), run.thresholds.conflict).withColumnsRenamed({"lo": "id_a", "hi": "id_b"})))
+    p = cut(run.providers.conflicts.ask(ed.conflict_candidates(batch, cur, gr.conflict_links(g), run.thresholds.conflict, most=run.most(schema.CONFLICT_PAIRS)).withColumnsRenamed({"lo": "id_a", "hi": "id_b"})))
     order = cut(ed.order_by_time(p.where("verdict in ('A', 'B')").select(F.col("id_a").alias("lo"), F.col("id_b").alias("hi"), "verdict"), g.memory))
     edge = order.select(F.col("newer").alias("src_id"), F.col("older").alias("dst_id"), F.lit("superseded").alias("reason"), F.lit(run.at).alias("createdat"), F.lit(run.id).alias("editorrun"))
     con = p.where("verdict = 'contradicts'").select(F.col("id_a").alias("src_id"), F.col("id_b").alias("dst_id"), F.lit("contradicts").alias("type"), F.lit(0.5).alias("weight"), F.lit(run.id).alias("editorrun"))
@@ -147,7 +151,7 @@ def entity_resolution(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFra
         co = cut(gr.co_mentioned_pairs(g.mentions))
         known = gr.unordered(g.distinct_from)
         ask = names.where("not is_match").select("lo", "hi").join(co, ["lo", "hi"], "left_anti").join(known, ["lo", "hi"], "left_anti")
-        v = cut(run.providers.entities.ask(ask.orderBy("lo", "hi").limit(schema.ENTITY_PAIRS).select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))))
+        v = cut(run.providers.entities.ask(ask.orderBy("lo", "hi").limit(run.most(schema.ENTITY_PAIRS)).select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))))
         apart = v.where("verdict = 'different'").select(F.col("id_a").alias("src_id"), F.col("id_b").alias("dst_id"), F.lit("judged").alias("reason"), F.lit(run.at).alias("createdat"), F.lit(run.id).alias("editorrun"))
         distinct = _edges(g.distinct_from, apart, ["src_id", "dst_id"])
         links = v.where("verdict = 'same'").select(F.col("id_a").alias("lo"), F.col("id_b").alias("hi"))
@@ -159,7 +163,7 @@ def entity_resolution(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFra
 def relationships(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFrame]:
     if run.providers.relations is None:
         return {}
-    p = ed.relation_candidates(g, batch).select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))
+    p = ed.relation_candidates(g, batch, most=run.most(schema.RELATION_PAIRS)).select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))
     v = run.providers.relations.ask(p).where("verdict in ('caused_by', 'follows', 'supports', 'elaborates', 'contradicts')")
     e = v.select(F.col("id_a").alias("src_id"), F.col("id_b").alias("dst_id"), F.col("verdict").alias("type"), F.lit(0.5).alias("weight"), F.lit(run.id).alias("editorrun"))
     return {"relates_to": _edges(g.relates_to, e, ["src_id", "dst_id", "type"])}
@@ -229,12 +233,20 @@ def run_once(state: GraphState, run: Run) -> dict:
     return counts
 
 
-def run_all(state: GraphState, make_run, most: int = 20) -> list[dict]:
-    """Runs until nothing raw is left; ``make_run(i)`` gives the i-th run."""
-    out = []
-    for i in range(most):
-        out.append(run_once(state, make_run(i)))
-        if not out[-1]["batch"]:
+def raw_count(state: GraphState) -> int:
+    return state.read("memory").where("status = 'raw'").count()
+
+
+def run_all(state: GraphState, make_run, most: int | None = None) -> list[dict]:
+    """Runs until nothing raw is left; ``make_run(i)`` gives the i-th run.
+
+    A run that leaves as many raw memories as before is the last one: the next would take the same batch again.
+    """
+    out, raw = [], raw_count(state)
+    while most is None or len(out) < most:
+        out.append(run_once(state, make_run(len(out))))
+        before, raw = raw, raw_count(state)
+        if not out[-1]["batch"] or raw == before:
             break
     return out
 

@@ -78,6 +78,8 @@ DECAY, FLOOR, BOOST = 0.05, 0.1, 0.1
 CONFLICT_COSINE, CONFLICT_NEIGHBOURS, CONFLICT_PAIRS = 0.55, 8, 200
 ENTITY_MERGE, ENTITY_CANDIDATE, ENTITY_PAIRS = 0.95, 0.80, 60
 HUB, RELATION_PAIRS, BATCH = 30, 120, 50
+#: Memories a run when all raw ones are consolidated; pair caps grow with the batch.
+BATCH_ALL = 1000
 CHUNKS = {"dedup": 12, "classify": 20, "conflict": 10, "entity": 10, "relations": 12, "links": 8, "embed": 64, "extract": 24}
 RESTATEMENT, SALIENCE_FLOOR, CONTENT_LEAST, TRANSCRIPT_LEAST, MESSAGE_MOST = 0.95, 0.5, 20, 20, 2000
 PRICES = {
