@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.runtime import cut
+
 #: Values (rows x dimensions) of a query side that may be broadcast: 256 MB of doubles.
 QUERY_VALUES = 32_000_000
+#: Values of the query side that ``similar_to`` holds and broadcasts at a time: 64 MB of doubles.
+SIDE_VALUES = 8_000_000
 #: Query rows multiplied at a time.
 BLOCK = 2048
+#: Candidate pairs decided at a time, and the margin of single precision.
+PAIRS, SLACK = 65_536, 1e-4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,31 +64,66 @@ def _query_block(queries: DataFrame, ident: str, embedding: str) -> tuple[list,
     return [r[0] for r in rows], _unit([r[1] for r in rows]) if rows else np.zeros((0, 0))
 
 
-def similar_to(queries: DataFrame, rows: DataFrame, least: float, ident: str = "id", embedding: str = "embedding", below: float = 1.01) -> DataFrame:
+def _packed(side: DataFrame) -> tuple[list, np.ndarray]:
+    """Ids and unit vectors of (id, v), which come to the driver as bytes, not as Python numbers."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                m = _unit(pdf["v"])
+                yield pd.DataFrame({"ids": [pickle.dumps(list(pdf["id"]))], "m": [m.tobytes()], "width": [m.shape[1]]})
+
+    parts = side.mapInPandas(pack, "ids binary, m binary, width int").collect()
+    if not parts:
+        return [], np.zeros((0, 0))
+    return [i for p in parts for i in pickle.loads(bytes(p.ids))], np.concatenate([np.frombuffer(p.m).reshape(-1, p.width) for p in parts])
+
+
+def similar_to(queries: DataFrame, rows: DataFrame, least: float, ident: str = "id", embedding: str = "embedding", below: float = 1.01, values: int = SIDE_VALUES) -> DataFrame:
     """(q, id, cosine): every (query, row) with ``least`` <= cosine < ``below``, ids different.
 
-    A stated set of queries, of checked size, is broadcast and multiplied with all rows block by block; the
-    rows are neither shuffled nor gathered.
+    The queries are taken in parts of about ``values`` values, of which one at a time is on the driver and broadcast; it is
+    multiplied with all rows block by block, and the rows are neither shuffled nor gathered.  A product in single precision
+    finds the candidates, with a margin above its error; double precision decides.
     """
-    ids, m = _query_block(queries, ident, embedding)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, m))
     qt, rt = dict(queries.dtypes)[ident], dict(rows.dtypes)[ident]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x, names = _unit(pdf["v"]), pdf["id"].to_numpy()
-            for s in range(0, len(ids), BLOCK):
-                g = m[s : s + BLOCK] @ x.T
-                a, b = np.nonzero((g >= least) & (g < below))
-                hits = [(ids[s + i], names[j], g[i, j]) for i, j in zip(a, b, strict=True) if ids[s + i] != names[j]]
-                if hits:
-                    yield pd.DataFrame(hits, columns=["q", "id", "cosine"])
-
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(0))).first()
+    parts = max(1, -(-n * width // values))
+    side = queries.select(F.col(ident).alias("id"), F.col(embedding).alias("v"))
     src = rows.select(F.col(ident).alias("id"), F.col(embedding).alias("v"))
-    return src.mapInPandas(run, f"q {qt}, id {rt}, cosine double")
+    if parts > 1:
+        side, src = cut(side.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))), cut(src)
+
+    def matches(side: DataFrame):
+        shared = rows.sparkSession.sparkContext.broadcast(_packed(side))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                x, names = _unit(pdf["v"]), pdf["id"].to_numpy(dtype=object)
+                small = x.astype(np.float32).T
+                for s in range(0, len(ids), BLOCK):
+                    a, b = np.nonzero(m[s : s + BLOCK].astype(np.float32) @ small >= np.float32(least - SLACK))
+                    for t in range(0, len(a), PAIRS):
+                        i, j = a[t : t + PAIRS] + s, b[t : t + PAIRS]
+                        g = np.einsum("ij,ij->i", m[i], x[j])
+                        hits = [(ids[p], names[q], c) for p, q, c in zip(i, j, g, strict=True) if least <= c < below and ids[p] != names[q]]
+                        if hits:
+                            yield pd.DataFrame(hits, columns=["q", "id", "cosine"])
+
+        return src.mapInPandas(run, f"q {qt}, id {rt}, cosine double"), shared
+
+    if parts == 1:
+        return matches(side)[0]
+    out = None
+    for k in range(parts):
+        found, shared = matches(side.where(F.col("part") == k).select("id", "v"))
+        found = cut(found)
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def top_k(

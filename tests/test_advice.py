@@ -2,8 +2,12 @@
 
 from datetime import datetime
 
+import numpy as np
+
 from lorekeep import __main__ as cli
 from lorekeep import schema
+from lorekeep.functions import vectors
+from lorekeep.operators import editor as ed
 from lorekeep.operators import pipeline as pl
 
 AT = datetime(2026, 5, 1, 12)
@@ -27,3 +31,21 @@ def test_run_all_has_no_bound(monkeypatch):
     assert cli.parser().parse_args(["x", "--all", "--batch", "9"]).batch == 9
     run = pl.Run("r", AT, batch=schema.BATCH_ALL)
     assert run.most(200) == 200 * schema.BATCH_ALL // schema.BATCH and pl.Run("r", AT, batch=8).most(200) == 200
+
+
+def test_similar_to_takes_any_number_of_queries(spark):
+    x = np.random.default_rng(5).standard_normal((60, 8))
+    df = spark.createDataFrame([(f"v{i:02}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = u @ u.T
+    want = {(f"v{i:02}", f"v{j:02}") for i in range(60) for j in range(60) if i != j and 0.3 <= g[i, j] < 0.9}
+    whole = {(r.q, r.id) for r in vectors.similar_to(df, df, 0.3, below=0.9).collect()}
+    parts = vectors.similar_to(df, df, 0.3, below=0.9, values=100).collect()
+    assert want and whole == want and {(r.q, r.id) for r in parts} == want and len(parts) == len(want)
+
+
+def test_embedding_tier_refuses_no_size(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_VALUES", 5)
+    e = spark.createDataFrame([("a", "T", [1.0, 0.0]), ("b", "T", [1.0, 0.01]), ("c", "T", [0.0, 1.0])], "entity_id string, type string, embedding array<double>")
+    none = spark.createDataFrame([], "lo string, hi string")
+    assert [(r.lo, r.hi, r.certain) for r in ed.embedding_tier(e, none).collect()] == [("a", "b", True)]
