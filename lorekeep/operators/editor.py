@@ -30,11 +30,12 @@ def duplicate_pairs(batch: DataFrame, rows: DataFrame, least: float = schema.EXA
     return both.where(~keep).select(F.col("q").alias("id_a"), F.col("id").alias("id_b"), "cosine")
 
 
-def fold_duplicates(pairs: DataFrame, times: DataFrame) -> DataFrame:
+def fold_duplicates(pairs: DataFrame, times: DataFrame, by_component: bool = False) -> DataFrame:
     """(dupe, survivor, cosine): duplicates to archive, taking the most similar pairs first.
 
     The newer memory goes into the older one, of equal times the larger id.  A memory that is archived already takes part
-    no more, on either side.  The input is the candidate pairs of one batch.
+    no more, on either side.  The input is the candidate pairs of one batch, or of any number with ``by_component``: pairs of
+    different connected components do not touch each other, so each component is folded by itself, with the same result.
     """
     t = times.select("id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"))
     ta, tb = t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), t.select(F.col("id").alias("id_b"), F.col("t").alias("tb"))
@@ -53,6 +54,9 @@ def fold_duplicates(pairs: DataFrame, times: DataFrame) -> DataFrame:
             out.append((dupe, keep, c))
         return pd.DataFrame(out, columns=["dupe", "survivor", "cosine"])
 
+    if by_component:
+        root = min_label_groups(pairs, "id_a", "id_b").select(F.col("id").alias("id_a"), "root")
+        return p.join(root, "id_a").groupBy("root").applyInPandas(fold, "dupe string, survivor string, cosine double")
     return p.groupBy().applyInPandas(fold, "dupe string, survivor string, cosine double") if not p.isEmpty() else p.select(
         F.col("id_a").alias("dupe"), F.col("id_b").alias("survivor"), "cosine"
     )
@@ -113,13 +117,38 @@ def find_clusters(ids: list, sim, least: float = schema.CATEGORY_COSINE, quorum:
     return out
 
 
+def vector_clusters(ids: list, x, least: float = schema.CATEGORY_COSINE, quorum: int = schema.CATEGORY_QUORUM) -> list[list]:
+    """``find_clusters`` of unit vectors, without the matrix of all similarities: one seed's row at a time."""
+    import numpy as np
+
+    order = np.lexsort((np.arange(len(ids)), -np.round(x @ x.mean(0), 9))) if len(ids) else []
+    free, out = np.ones(len(ids), bool), []
+    for s in order:
+        if not free[s]:
+            continue
+        sim = x @ x[s]
+        rest = np.flatnonzero(free & (sim >= least))
+        rest = rest[rest != s]
+        rest = rest[np.lexsort((rest, -np.round(sim[rest], 9)))]
+        own = [int(s)]
+        while len(rest):
+            own.append(int(rest[0]))
+            rest = rest[1:]
+            rest = rest[x[rest] @ x[own[-1]] >= least]
+        if len(own) >= quorum:
+            free[own] = False
+            out.append(sorted(ids[i] for i in own))
+    return out
+
+
 def category_clusters(batch: DataFrame, least: float = schema.CATEGORY_COSINE, quorum: int = schema.CATEGORY_QUORUM, key: str | None = None) -> DataFrame:
-    """(cluster, id): clusters among the embedded rows of a batch (or of each ``key``); a batch is bounded."""
+    """(cluster, id): clusters among the embedded rows of a batch (or of each ``key``): a greedy
+    fold in one task, which holds the vectors and no matrix of their similarities."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = vectors._unit(pdf["embedding"])
-        found = find_clusters(list(pdf["id"]), x @ x.T, least, quorum)
+        found = vector_clusters(list(pdf["id"]), x, least, quorum)
         return pd.DataFrame([(c[0], i) for c in found for i in c], columns=["cluster", "id"])
 
     kind = dict(batch.dtypes)["id"]

@@ -10,7 +10,7 @@ from lorekeep.functions import text, vectors
 from lorekeep.operators import editor as ed
 from lorekeep.operators import graph as gr
 from lorekeep.providers import HashVerdicts
-from lorekeep.runtime import table
+from lorekeep.runtime import cut, table
 from lorekeep.sources.tables import CTE, load_graph, memories, verdicts
 
 QUERIES: dict = {}
@@ -27,9 +27,15 @@ def query(sql: str | None = None):
     return keep
 
 
-def _batch(spark: SparkSession, d: str) -> DataFrame:
-    """The oldest raw memories, as one run of the editor takes them."""
-    return memories(spark, d).where("status = 'raw'").orderBy(F.asc_nulls_first("timestamp"), "content", "id").limit(schema.BATCH)
+def _batch(spark: SparkSession, d: str, most: int | None = schema.BATCH) -> DataFrame:
+    """The oldest raw memories, as one run of the editor takes them; all raw ones without ``most``."""
+    raw = memories(spark, d).where("status = 'raw'")
+    return raw.orderBy(F.asc_nulls_first("timestamp"), "content", "id").limit(most) if most else raw
+
+
+def _sides(spark: SparkSession, d: str, most: int | None = schema.BATCH) -> tuple[DataFrame, DataFrame]:
+    rows = _active_vectors(load_graph(spark, d))
+    return rows.join(_batch(spark, d, most).select("id"), "id", "left_semi"), rows
 
 
 def _active_vectors(g) -> DataFrame:
@@ -47,8 +53,14 @@ prs AS (
 @query(_PAIRS + "SELECT id_a, id_b, round(c, 6) AS cosine FROM prs WHERE c >= 0.98")
 def dedup_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a batch memory and any active one with nearly the same vector."""
-    rows = _active_vectors(load_graph(spark, d))
-    b = rows.join(_batch(spark, d).select("id"), "id", "left_semi")
+    b, rows = _sides(spark, d)
+    return ed.duplicate_pairs(b, rows).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def dedup_pairs_exact_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of any raw memory and any active one with nearly the same vector."""
+    b, rows = _sides(spark, d, None)
     return ed.duplicate_pairs(b, rows).withColumn("cosine", F.round("cosine", 6))
 
 
@@ -57,8 +69,15 @@ def dedup_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
 FROM prs WHERE c >= 0.4 AND c < 0.98""")
 def dedup_pairs_semantic(spark: SparkSession, d: str) -> DataFrame:
     """Pairs below the exact level (down to 0.4 on these vectors), with offline verdicts."""
-    rows = _active_vectors(load_graph(spark, d))
-    b = rows.join(_batch(spark, d).select("id"), "id", "left_semi")
+    b, rows = _sides(spark, d)
+    p = ed.duplicate_pairs(b, rows, 0.4, schema.EXACT)
+    return HashVerdicts(["duplicate", "update", "related", "distinct"]).ask(p).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def dedup_pairs_semantic_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of any raw memory below the exact level (down to 0.4 on these vectors), with offline verdicts."""
+    b, rows = _sides(spark, d, None)
     p = ed.duplicate_pairs(b, rows, 0.4, schema.EXACT)
     return HashVerdicts(["duplicate", "update", "related", "distinct"]).ask(p).withColumn("cosine", F.round("cosine", 6))
 
@@ -66,11 +85,17 @@ def dedup_pairs_semantic(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dedup_fold(spark: SparkSession, d: str) -> DataFrame:
     """Which memories of the batch go into which others."""
-    rows = _active_vectors(load_graph(spark, d))
-    b = rows.join(_batch(spark, d).select("id"), "id", "left_semi")
+    b, rows = _sides(spark, d)
     return ed.fold_duplicates(ed.duplicate_pairs(b, rows), rows)
 
 
+@query()
+def dedup_fold_all(spark: SparkSession, d: str) -> DataFrame:
+    """Which raw memories go into which others, or others into them; folded by connected component."""
+    b, rows = _sides(spark, d, None)
+    return ed.fold_duplicates(cut(ed.duplicate_pairs(b, rows)), rows, by_component=True)
+
+
 @query(r"""SELECT sha256(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[.!]+$', '')) AS key, count(*) AS n,
   min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def dedup_exact_text(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +152,12 @@ def category_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ed.category_clusters(b, 0.15, 3)
 
 
+@query()
+def category_clusters_all(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of similar memories among all raw ones."""
+    return ed.category_clusters(_batch(spark, d, None).where(vectors.usable(F.col("embedding"))), 0.15, 3)
+
+
 @query("""
 , cur AS (
   SELECT vec.id, status, v, list(men.entity_id) FILTER (WHERE men.entity_id IS NOT NULL) AS es FROM vec LEFT JOIN men ON men.memory_id = vec.id
@@ -147,6 +178,14 @@ def conflict_candidates(spark: SparkSession, d: str) -> DataFrame:
     return ed.conflict_candidates(_batch(spark, d), cur, gr.conflict_links(g), 0.45).withColumn("cosine", F.round("cosine", 6))
 
 
+@query()
+def conflict_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of all raw memories that may contradict each other (from 0.45 on these vectors), without a cap."""
+    g = load_graph(spark, d)
+    cur = cut(gr.current_memories(g).where(vectors.usable(F.col("embedding"))))
+    return ed.conflict_candidates(_batch(spark, d, None), cur, gr.conflict_links(g), 0.45, most=None).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("""
 , t AS (SELECT id, coalesce(validfrom, timestamp) AS t, validto FROM mem),
 o AS (
@@ -281,6 +320,12 @@ def relationship_candidates(spark: SparkSession, d: str) -> DataFrame:
     return ed.relation_candidates(load_graph(spark, d), _batch(spark, d), most=None)
 
 
+@query()
+def relationship_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs worth asking about when every raw memory is taken."""
+    return ed.relation_candidates(load_graph(spark, d), _batch(spark, d, None), most=None)
+
+
 @query("""
 SELECT CASE WHEN x = 'b_to_a' THEN hi ELSE lo END AS src_id, CASE WHEN x = 'b_to_a' THEN lo ELSE hi END AS dst_id, 'knows' AS relation
 FROM (SELECT lo, hi, unnest(CASE CAST('0x' || right(sha256(lo || '|' || hi), 1) AS INT) % 3 WHEN 0 THEN ['a_to_b'] WHEN 1 THEN ['b_to_a'] ELSE ['a_to_b', 'b_to_a'] END) AS x

@@ -9,6 +9,7 @@ from lorekeep import schema
 from lorekeep.functions import vectors
 from lorekeep.operators import editor as ed
 from lorekeep.operators import pipeline as pl
+from lorekeep.plans import consolidate
 
 AT = datetime(2026, 5, 1, 12)
 
@@ -49,3 +50,29 @@ def test_embedding_tier_refuses_no_size(spark, monkeypatch):
     e = spark.createDataFrame([("a", "T", [1.0, 0.0]), ("b", "T", [1.0, 0.01]), ("c", "T", [0.0, 1.0])], "entity_id string, type string, embedding array<double>")
     none = spark.createDataFrame([], "lo string, hi string")
     assert [(r.lo, r.hi, r.certain) for r in ed.embedding_tier(e, none).collect()] == [("a", "b", True)]
+
+
+def test_whole_table_queries_take_all_raw(spark):
+    d = "/root/testdata/sf0.01"
+    assert consolidate._batch(spark, d).count() == schema.BATCH
+    raw = {r.id for r in consolidate._batch(spark, d, None).select("id").collect()}
+    assert len(raw) > schema.BATCH
+    q = consolidate.QUERIES
+    few = {(r.lo, r.hi) for r in q["relationship_candidates"](spark, d).collect()}
+    many = {(r.lo, r.hi) for r in q["relationship_candidates_all"](spark, d).collect()}
+    assert few < many
+    assert len({i for p in many for i in p} & raw) > schema.BATCH
+
+
+def test_folds_by_component_and_without_matrix(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((90, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [f"m{i:02}" for i in range(90)]
+    for least in (0.3, 0.6):
+        assert ed.vector_clusters(ids, x, least, 3) == ed.find_clusters(ids, x @ x.T, least, 3)
+    pairs = [(ids[i], ids[j], float(x[i] @ x[j])) for i in range(90) for j in range(i) if x[i] @ x[j] > 0.9]
+    p = spark.createDataFrame(pairs, "id_a string, id_b string, cosine double")
+    t = spark.createDataFrame([(i, datetime(2026, 1, 1 + int(rng.integers(9)))) for i in ids], "id string, timestamp timestamp")
+    one, by = ({tuple(r) for r in ed.fold_duplicates(p, t, b).collect()} for b in (False, True))
+    assert one and one == by
