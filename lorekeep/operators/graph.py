@@ -29,9 +29,10 @@ class Graph:
     distinct_from: DataFrame
     in_category: DataFrame
     category: DataFrame
+    asked: DataFrame | None = None  # entity pairs put to the provider; delivered tables have none
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: df for f in fields(self) if (df := getattr(self, f.name)) is not None}
 
 
 def unordered(df: DataFrame, a: str = "src_id", b: str = "dst_id") -> DataFrame:

@@ -8,10 +8,11 @@ more than one step.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep import schema
@@ -31,6 +32,7 @@ class Providers:
     dedup: object | None = None
     conflicts: object | None = None
     entities: object | None = None
+    embeddings: Callable[[Column], Column] | None = None  # of entity descriptors
     relations: object | None = None
     links: object | None = None
 
@@ -142,22 +144,54 @@ def contradictions(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFrame]
     }
 
 
+def _described(g: Graph, e: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """(id, embedding, embeddingtext) of the entities whose descriptor is not the one that their embedding encodes."""
+    d = ed.descriptor(e).where("text is not null").withColumnRenamed("entity_id", "id").join(g.entity.select("id", "embedding", "embeddingtext"), "id")
+    stale = d.where(F.col("embedding").isNull() | ~F.col("embeddingtext").eqNullSafe(F.col("text")))
+    return cut(stale.select("id", embed(F.col("text")).cast("array<float>").alias("embedding"), F.col("text").alias("embeddingtext")))
+
+
 def entity_resolution(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFrame]:
+    """Merges by name, by embedding, and by verdict on what these leave open.
+
+    Pairs that the provider has been asked least often come first, then the most similar, so a pair that stays unsure does not
+    keep others from their turn.
+    """
     e = cut(gr.resolution_entities(g))
     names = cut(ed.name_candidates(e))
+    co = cut(gr.co_mentioned_pairs(g.mentions))
     sure = names.where("is_match").select("lo", "hi")
-    distinct = g.distinct_from
+    open_ = names.where("not is_match").join(co, ["lo", "hi"], "left_anti").select("lo", "hi", F.lit(1.0).alias("cosine"))
+    if run.providers.embeddings is not None:
+        g = replace(g, entity=cut(_set(g.entity, _described(g, e, run.providers.embeddings), "embedding", "embeddingtext")))
+        v = e.select("entity_id", "type").join(g.entity.select(F.col("id").alias("entity_id"), "embedding"), "entity_id")
+        v = cut(v.where(vectors.usable(F.col("embedding"), run.thresholds.dims)))
+        tier = cut(ed.embedding_tier(v, co))
+        sure = sure.unionByName(tier.where("certain").select("lo", "hi"))
+        side = lambda end: v.select(F.col("entity_id").alias(end), F.col("embedding").alias(f"v_{end}"))
+        near = F.coalesce(vectors.cosine(F.col("v_lo"), F.col("v_hi")), F.lit(0.0))
+        open_ = open_.join(side("lo"), "lo", "left").join(side("hi"), "hi", "left").select("lo", "hi", near.alias("cosine"))
+        open_ = open_.unionByName(tier.where("not certain").select("lo", "hi", "cosine")).groupBy("lo", "hi").agg(F.max("cosine").alias("cosine"))
+    sure = cut(sure.distinct())
+    changed = {"distinct_from": g.distinct_from}
     if run.providers.entities is not None:
-        co = cut(gr.co_mentioned_pairs(g.mentions))
-        known = gr.unordered(g.distinct_from)
-        ask = names.where("not is_match").select("lo", "hi").join(co, ["lo", "hi"], "left_anti").join(known, ["lo", "hi"], "left_anti")
-        v = cut(run.providers.entities.ask(ask.orderBy("lo", "hi").limit(run.most(schema.ENTITY_PAIRS)).select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))))
-        apart = v.where("verdict = 'different'").select(F.col("id_a").alias("src_id"), F.col("id_b").alias("dst_id"), F.lit("judged").alias("reason"), F.lit(run.at).alias("createdat"), F.lit(run.id).alias("editorrun"))
-        distinct = _edges(g.distinct_from, apart, ["src_id", "dst_id"])
+        asked = g.asked if g.asked is not None else e.sparkSession.createDataFrame([], schema.TABLES["asked"])
+        group = cut(ed.min_label_groups(sure))
+        of = lambda end: group.select(F.col("id").alias(end), F.col("root").alias(f"r_{end}"))
+        times = asked.groupBy(F.least("src_id", "dst_id").alias("lo"), F.greatest("src_id", "dst_id").alias("hi")).agg(F.count(F.lit(1)).alias("times"))
+        ask = open_.join(gr.unordered(g.distinct_from), ["lo", "hi"], "left_anti").join(of("lo"), "lo", "left").join(of("hi"), "hi", "left")
+        ask = ask.where("r_lo is null or r_hi is null or r_lo <> r_hi").join(times, ["lo", "hi"], "left")
+        ask = ask.orderBy(F.coalesce("times", F.lit(0)), F.desc("cosine"), "lo", "hi").limit(run.most(schema.ENTITY_PAIRS))
+        v = cut(run.providers.entities.ask(ask.select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))))
+        ends = [F.col("id_a").alias("src_id"), F.col("id_b").alias("dst_id")]
+        stamp = [F.lit(run.at).alias("createdat"), F.lit(run.id).alias("editorrun")]
+        changed["asked"] = _edges(asked, v.select(*ends, *stamp), schema.KEYS["asked"])
+        apart = v.where("verdict = 'different'").select(*ends, F.lit("judged").alias("reason"), *stamp)
+        changed["distinct_from"] = distinct = _edges(g.distinct_from, apart, ["src_id", "dst_id"])
         links = v.where("verdict = 'same'").select(F.col("id_a").alias("lo"), F.col("id_b").alias("hi"))
         sure = sure.unionByName(ed.consistent_links(links, co.unionByName(gr.unordered(distinct)), sure))
     targets = cut(ed.merge_targets(ed.min_label_groups(sure), e))
-    return ed.merge_entities(g, targets, run.id) | {"distinct_from": distinct}
+    return ed.merge_entities(g, targets, run.id) | changed
 
 
 def relationships(g: Graph, batch: DataFrame, run: Run) -> dict[str, DataFrame]:

@@ -44,6 +44,7 @@ EDGES = {
     "linked_to": _table(src_id=_S, dst_id=_S, relation=_S, detail=_S, sentiment=_S, strength=_D, active=_B, editorrun=_S),
     "merged_into": _table(src_id=_S, dst_id=_S, editorrun=_S),
     "distinct_from": _table(src_id=_S, dst_id=_S, reason=_S, createdat=_TS, editorrun=_S),
+    "asked": _table(src_id=_S, dst_id=_S, createdat=_TS, editorrun=_S),
 }
 TABLES = NODES | EDGES
 
@@ -52,7 +53,7 @@ KEYS = {
     "memory": ["id"], "entity": ["id"], "session": ["id"], "category": ["name"], "editor_run": ["id"], "edit_action": ["id"],
     "mentions": ["memory_id", "entity_id"], "part_of": ["memory_id", "session_id"], "in_category": ["memory_id", "category"],
     "relates_to": ["src_id", "dst_id", "type"], "canonical": ["src_id", "dst_id"], "supersedes": ["src_id", "dst_id"],
-    "linked_to": ["src_id", "dst_id"], "merged_into": ["src_id", "dst_id"], "distinct_from": ["src_id", "dst_id"],
+    "linked_to": ["src_id", "dst_id"], "merged_into": ["src_id", "dst_id"], "distinct_from": ["src_id", "dst_id"], "asked": ["src_id", "dst_id", "editorrun"],
 }
 UNIQUE = {"memory": ["id", "writekey"], "entity": ["id", "name"], "session": ["id", "key"], "category": ["name"], "editor_run": ["id"], "edit_action": ["id"]}
 

@@ -1,15 +1,20 @@
 """Whole jobs: no bound on runs, rows or vectors cuts a result."""
 
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lorekeep import __main__ as cli
 from lorekeep import schema
 from lorekeep.functions import vectors
 from lorekeep.operators import editor as ed
 from lorekeep.operators import pipeline as pl
+from lorekeep.operators.graph import Graph
 from lorekeep.plans import consolidate
+from lorekeep.providers import HashVerdicts
+from lorekeep.runtime import cut
 
 AT = datetime(2026, 5, 1, 12)
 
@@ -76,3 +81,25 @@ def test_folds_by_component_and_without_matrix(spark):
     t = spark.createDataFrame([(i, datetime(2026, 1, 1 + int(rng.integers(9)))) for i in ids], "id string, timestamp timestamp")
     one, by = ({tuple(r) for r in ed.fold_duplicates(p, t, b).collect()} for b in (False, True))
     assert one and one == by
+
+
+def test_entity_step_uses_embeddings_and_takes_turns(spark, monkeypatch):
+    monkeypatch.setattr(schema, "ENTITY_PAIRS", 1)
+    rows = lambda name, data: spark.createDataFrame([tuple(r.get(f.name) for f in schema.TABLES[name].fields) for r in data], schema.TABLES[name])
+    ent = rows("entity", [{"id": i, "name": n, "type": "Tool", "aliases": []} for i, n in zip("abcde", ["Alpha", "Beta", "Gamma", "Delta", "Eps"], strict=True)])
+    g = Graph(**{n: rows(n, []) for n in Graph.__dataclass_fields__} | {"entity": ent})
+    cos = lambda c: F.array(F.lit(c), F.lit((1 - c * c) ** 0.5), F.lit(0.0))
+    flat, other = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    def embed(t):  # Alpha and Beta equal, Gamma 0.9 and Delta 0.82 from them; Eps far
+        return F.when(t.startswith("Alpha") | t.startswith("Beta"), flat).when(t.startswith("Gamma"), cos(0.9)).when(t.startswith("Delta"), F.array(F.lit(0.82), F.lit(-0.5724), F.lit(0.0))).otherwise(other)
+
+    run = lambda i: pl.Run(f"r{i}", AT, thresholds=pl.Thresholds(dims=3), providers=pl.Providers(entities=HashVerdicts(["unsure"]), embeddings=embed))
+    batch, seen = spark.createDataFrame([], "id string"), []
+    for i in range(2):
+        new = {k: cut(v) for k, v in pl.entity_resolution(g, batch, run(i)).items()}
+        g = replace(g, **new)
+        seen.append([(r.src_id, r.dst_id) for r in g.asked.where(F.col("editorrun") == f"r{i}").collect()])
+    assert {(r.src_id, r.dst_id) for r in g.merged_into.collect()} == {("b", "a")}
+    assert seen[0] == [("a", "c")] and seen[1][0] != seen[0][0] and len(seen[1]) == 1
+    assert g.entity.where("embeddingtext is not null").count() == 5
