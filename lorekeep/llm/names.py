@@ -1,20 +1,22 @@
 """Variant spellings of names typed by people.
 
-Method: every name and alias is cut into tokens; a symmetric-delete index on the tokens (each token and the
-token less any one letter) finds tokens within a small edit distance without comparing all; candidate forms that
-share such a token are aligned token by token by an optimal assignment that permits typing errors, initials,
-abbreviations, nicknames and run-together words.
+Method: every name and alias is cut into tokens.  A symmetric-delete index on the distinct tokens (a token less any one
+letter, from nine letters on less any two) finds the tokens that may be typing errors of each other, nicknames aside,
+without comparing all; forms that share a token or such a neighbour are aligned token by token by an optimal assignment
+that permits typing errors, initials, abbreviations, nicknames and run-together words.
 
-Only tokens that few forms have are index keys; frequent words (given names, "university") are compared
-in the alignment alone.  A form made of frequent words only is found by its exact words.
+Whether two names match depends on the two names alone, never on how often their words occur or how large the table
+is.  That two words which differ by a letter are two words ("Fort", "Port") is known from a fixed list.
 
 From forms to entities: a form *identifies* an entity if it has two full words, or is the entity's whole name of one
 word that is no acronym.  Entities and identifying forms make a graph whose components are the groups.  Forms with a
 bare initial identify nothing; such an entity joins the one group that fits it, or none if several do.
 
-Scale: equal forms are one node whatever the number of entities that bear them; the index is an equi-join
-of hashed keys, bounded by the document frequency of a key token; only frequent words are broadcast (at most
-``1000 x`` the mean number of tokens).
+Scale: equal forms are one node whatever the number of entities that bear them.  A key that would make more than
+``PAIRS`` pairs (a common given name) is refined, not dropped: all tokens of the shorter name have a partner, so two
+names that match share a key for each of them, and a hot key is joined only together with a second one, a pair
+of keys that is still hot with a third, until the key spells the whole name.  Nothing but row counts
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.components import connected_components
-from lorekeep.runtime import clean, cut
+from lorekeep.runtime import clean, cut, partitions
 
 # Spellings of the six entity types, titles, legal forms and joining words, abbreviations that keep a
 # vowel, letters that sound alike, and common English nicknames with the names they stand for.
@@ -65,7 +69,7 @@ NICKNAMES = {
     "nick": "nicholas", "nell": "eleanor", "pam": "pamela", "pat": "patricia patrick", "patty": "patricia",
     "peg": "margaret", "peggy": "margaret", "pete": "peter", "phil": "philip", "pip": "philippa", "pippa": "philippa",
     "quinn": "quentin", "ray": "raymond", "rich": "richard", "rick": "richard frederick", "rob": "robert",
-    "robbie": "robert", "ron": "ronald", "rosie": "rose", "sally": "sarah", "sam": "samuel samantha", "sammie": "samantha samuel", "sammy": "samuel samantha", "sanna": "susannah",
+    "robbie": "robert", "ron": "ronald", "rosie": "rose", "sally": "sarah", "sam": "samuel samantha", "sammie": "samantha samuel", "sammy": "samuel samantha",
     "sandy": "alexander sandra", "sasha": "alexander", "steph": "stephanie", "steve": "steven stephen",
     "sue": "susan susannah", "susie": "susan susannah", "ted": "theodore edward", "teddy": "theodore edward",
     "terry": "terence theresa", "theo": "theodore", "tim": "timothy", "timmy": "timothy", "tom": "thomas tomas",
@@ -74,13 +78,40 @@ NICKNAMES = {
     "zach": "zachary",
 }
 
+# Words by which organisations, places, projects, tools and ideas are described.
+DESCRIPTORS = set(
+    "university institute college school academy department faculty laboratory laboratories research science sciences system systems "
+    "technology technologies service services industry industries manufacturing association foundation international national "
+    "company group partners holdings bank museum hospital library centre center society council office airways airlines press "
+    "north south east west upper lower old new mount mountain saint port fort lake river bay hill city town village island street "
+    "project journal tracker planner notebook archive dashboard garden atlas tool toolkit client console editor studio framework "
+    "engine runtime compiler scheduler server database method theory principle technique routine habit workflow concept".split()
+)
+
 _TYPE_OF = {s: t for t, all_ in TYPES.items() for s in all_.split()}
 _FULL_OF = {n: frozenset(f.split()) for n, f in NICKNAMES.items()}
+# Given names that are no nicknames of others here.
+GIVEN = set(
+    "aaron adam adrian agnes ahmed alice amir amy ana andre andrea angela anita anna anne anton antonio arthur astrid beatrice bernard "
+    "bianca brian bruno camille carl carla carlos carmen caroline cecilia charlotte clara claire claudia diana diego dmitri dora edith "
+    "edgar elena elin elisa ella ellen elsa emil emily emma eric erik erika eva evan felix fatima flora gina giulia gloria grace hana "
+    "hanna hannah hans hassan heidi helen helena hugo ian ida igor ingrid irene iris ivan jan jana jane janet jean joan johan johanna "
+    "jonas jorge jose juan judith julia julian karen karin karl kevin lara lars laura lena leon lina linda lisa luca lucas luis luke "
+    "maja manuel marc marco marcus maria marie marina mario marion mark marta martha martin mateo maya mia mila milan mira mona nadia "
+    "nina noah nora olga oliver omar oscar otto paul paula pavel pia rachel ralf ravi rene rita roman rosa ruth sara sean sergei "
+    "silvia simon sofia sonia stefan sven tara tanya teresa tina tobias ulla uma vera viktor vincent yusuf zoe".split()
+)
 _DROPPED = TITLES | LEGAL | JOINING
+_GIVEN = GIVEN | set(NICKNAMES) | {f for x in _FULL_OF.values() for f in x}
+_KNOWN = _GIVEN | DESCRIPTORS
 
-FREQUENT_SHARE, FREQUENT_LEAST = 1000, 24
+#: Pairs that one key may make before it is refined; keys a name is refined by at most, beyond which all pairs are made;
+#: leading letters from which letters are deleted.
+PAIRS, DEEPEST, REACH = 4_096, 5, 10
 #: Letters a token needs for one and for two typing errors.
 ONE_ERROR, TWO_ERRORS = 4, 9
+#: Letters a word needs to be several words written as one.
+RUN_TOGETHER = 8
 
 
 def tokens_of(name: str) -> list[str]:
@@ -140,8 +171,9 @@ def abbreviates(short: str, full: str) -> bool:
 EQUAL, TYPO, NICK, SHORT, INITIAL, NONE = 100, 90, 89, 80, 50, 0
 
 
-def likeness(a: str, b: str, frequent) -> int:
-    """How token ``a`` stands for token ``b``.  Two different frequent words are never a typing error of each other."""
+@lru_cache(maxsize=200_000)
+def likeness(a: str, b: str) -> int:
+    """How token ``a`` stands for token ``b``.  Two different known words are never a typing error of each other."""
     if a == b:
         return EQUAL
     if len(a) == 1 or len(b) == 1:
@@ -149,7 +181,7 @@ def likeness(a: str, b: str, frequent) -> int:
     if b in _FULL_OF.get(a, ()) or a in _FULL_OF.get(b, ()) or _FULL_OF.get(a, frozenset()) & _FULL_OF.get(b, frozenset()):
         return NICK
     least = min(len(a), len(b))
-    if least >= ONE_ERROR and not (a in frequent and b in frequent) and not (a + b).isdigit():
+    if least >= ONE_ERROR and not (a in _KNOWN and b in _KNOWN) and not (a + b).isdigit():
         most = 2 if least >= TWO_ERRORS else 1
         e = edits(a, b, most)
         if e > most:  # spelled by ear, with one slip at most
@@ -201,23 +233,25 @@ def assign(score: list[list[int]]) -> list[int]:
 STRONG, WEAK = 2, 1
 
 
-def match(a: list[str], b: list[str], frequent=frozenset()) -> int:
+def match(a: list[str], b: list[str]) -> int:
     """STRONG if the two forms spell one name, WEAK if they do but for a bare initial, else 0.
 
-    All tokens of the shorter form have a partner; tokens left over are single letters.  At least one rare token
-    is equal or nearly so, and there are no more than two typing errors in all.
+    All tokens of the shorter form have a partner; tokens left over are single letters.  At least one token is equal or
+    nearly so, one that is neither a given name nor a describing word if others are shortened, and there
+    are no more than two typing errors in all.  Names of one word match but for typing errors.
     """
     if len(a) > len(b):
         a, b = b, a
     if a == b:
         return STRONG
-    if len(a) == 1 and len(b) > 1:
+    if len(a) == 1 and len(b) == 1:
+        return STRONG if likeness(a[0], b[0]) >= TYPO - 2 and not _nick(a[0], b[0]) else 0
+    if len(a) == 1:
         full = [w for w in b if len(w) > 1]
-        if len(a[0]) < 8 or len(full) < 2:
+        if len(a[0]) < RUN_TOGETHER or len(full) < 2:
             return 0
-        near = min(edits(a[0], "".join(o), 1) for o in (full, full[::-1], [full[-1], *full[:-1]]))
-        return STRONG if near <= 1 else 0
-    score = [[likeness(x, y, frequent) for y in b] for x in a]
+        return STRONG if min(edits(a[0], o, 1) for o in _run_together(full)) <= 1 else 0
+    score = [[likeness(x, y) for y in b] for x in a]
     got = assign(score)
     kinds = [score[i][j] for i, j in enumerate(got)]
     if min(kinds) == NONE:
@@ -225,28 +259,45 @@ def match(a: list[str], b: list[str], frequent=frozenset()) -> int:
     left = [b[j] for j in range(len(b)) if j not in set(got)]
     if any(len(w) > 1 for w in left):
         return 0
-    wrong = sum(TYPO - k for k in kinds if TYPO - 3 < k < TYPO and k != NICK)
-    wrong += sum(k == NICK and not _nick(a[i], b[got[i]]) for i, k in enumerate(kinds))
-    if wrong > 2:
-        return 0
     near = [i for i, k in enumerate(kinds) if k >= TYPO - 2 and len(a[i]) > 1]
-    if not any(a[i] not in frequent or b[got[i]] not in frequent for i in near):
-        if not all(k == EQUAL for k in kinds):
-            return 0
-    full = [i for i, k in enumerate(kinds) if k >= SHORT]
-    if len(full) >= 2 or (len(full) == 1 and len(a) == len(b) == 1):
-        return STRONG
-    return WEAK if full and len(kinds) > len(full) else 0
+    if sum(TYPO - kinds[i] for i in near if kinds[i] < EQUAL and not _nick(a[i], b[got[i]])) > 2:
+        return 0
+    if not near or (len(near) < len(kinds) and all(a[i] in _KNOWN and b[got[i]] in _KNOWN for i in near)):
+        return 0
+    full = sum(k >= SHORT for k in kinds)
+    return STRONG if full >= 2 else WEAK
 
 
 def _nick(a: str, b: str) -> bool:
-    return likeness(a, b, {a, b}) == NICK
+    return a != b and bool(_called(a) & _called(b))
+
+
+def _called(token: str) -> frozenset[str]:
+    """The full given names a token may stand for."""
+    return _FULL_OF.get(token, frozenset()) | ({token} & _GIVEN)
+
+
+def _run_together(words: list[str]) -> set[str]:
+    return {"".join(o) for o in (words, words[::-1], [words[-1], *words[:-1]])}
 
 
 def deletes(token: str) -> set[str]:
-    """The token, by its sound, and, if it may hold a typing error, the same less each single letter."""
-    token = sound(token)
-    return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))} if len(token) >= ONE_ERROR else {token}
+    """The token by its sound less up to as many letters as it may hold typing errors.
+
+    Letters are deleted within the first ``REACH``: of two tokens the leading parts that remain are equal whatever follows.
+    A token with two letters for one sound is also indexed as it is written, as a typing error may part them.
+    """
+    most = 0 if len(token) < ONE_ERROR else 1 if len(token) < TWO_ERRORS else 2
+    out: set[str] = set()
+    plain = token
+    for x, y in SOUNDS:
+        plain = plain.replace(x, y) if len(x) == 1 else plain
+    for t in {sound(token), plain}:
+        part = t[:REACH]
+        out.add(part)
+        for k in range(1, min(most, len(part) - 1) + 1):
+            out |= {"".join(c for i, c in enumerate(part) if i not in gone) for gone in combinations(range(len(part)), k)}
+    return out
 
 
 def _forms(entities: DataFrame, ident: str, name: str, aliases: str, kind: str) -> DataFrame:
@@ -282,57 +333,174 @@ def _forms(entities: DataFrame, ident: str, name: str, aliases: str, kind: str)
     return base.mapInPandas(run, "id string, type string, form string, own boolean, full boolean")
 
 
-def _index(forms: DataFrame, frequent) -> DataFrame:
-    """(key, form): symmetric-delete keys of each form's rare tokens, of its run-together spellings and of its exact words."""
-    shared = forms.sparkSession.sparkContext.broadcast(frequent)
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
 
-        common = shared.value
+def near_tokens(words: DataFrame) -> DataFrame:
+    """(t, u): tokens (column t, distinct) that are typing errors or nicknames of each other, in either order."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out = [(_hash(k), t) for t in pdf.t for k in [*deletes(t), *("~" + f for f in _called(t))]]
+            yield pd.DataFrame(out, columns=["key", "t"])
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [likeness(x, y) >= TYPO - 2 for x, y in zip(pdf.t, pdf.u, strict=True)]
+            yield pdf[pd.Series(ok, dtype=bool, index=pdf.index)]
+
+    n = partitions(words.sparkSession)
+    index = words.select("t").repartition(n).mapInPandas(keys, "key long, t string")
+    x, y = index.alias("x"), index.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.t") < F.col("y.t"))).select(F.col("x.t").alias("t"), F.col("y.t").alias("u"))
+    near = pairs.distinct().repartition(n).mapInPandas(check, "t string, u string")
+    return near.select(F.explode(F.array(F.struct("t", "u"), F.struct(F.col("u").alias("t"), F.col("t").alias("u")))).alias("p")).select("p.t", "p.u")
+
+
+def _shortened(token: str, side: str) -> set[str]:
+    """Keys of a token as the short one of a pair of tokens: an initial, or an abbreviation."""
+    out = {side + "L" + token[0]} if len(token) == 1 or (len(token) <= 5 and not set(token[1:]) & set("aeiou")) else set()
+    if 2 <= len(token) <= 5:
+        out.add(side + "P" + token)
+    return out | ({side + "E" + ABBREVIATIONS[token]} if token in ABBREVIATIONS else set())
+
+
+def _written_out(token: str, side: str) -> set[str]:
+    """Keys of a token as the full one of such a pair."""
+    out = {side + "L" + token[0]} | {side + "P" + token[:k] for k in range(2, min(5, len(token) - 1) + 1)}
+    return out | ({side + "E" + token} if token in _EXPANDED else set())
+
+
+_EXPANDED = set(ABBREVIATIONS.values())
+
+
+def _refined(tokens: list[str], near: list[set[str]], asks: bool, size: int) -> Iterator[tuple[str, int]]:
+    """(key, rest) of a form for each choice of ``size`` of its tokens, one of them by a hot token; rest: full words not chosen."""
+    other = [
+        (_shortened(t, "<") | _written_out(t, ">")) if asks else (_written_out(t, "<") | _shortened(t, ">")) for t in tokens
+    ]
+    full = sum(len(t) > 1 for t in tokens)
+    for at in combinations(range(len(tokens)), size):
+        rest = full - sum(len(tokens[i]) > 1 for i in at)
+        seen = set()
+        for hot in at:
+            for u in near[hot]:
+                for more in product(*[near[i] | other[i] for i in at if i != hot]):
+                    seen.add("\t".join(sorted([u, *more])))
+        for key in seen:
+            yield key, rest
+
+
+def _joined(asks: DataFrame, own: DataFrame, *on: str) -> DataFrame:
+    """(a, b), a < b: pairs of forms that share a key."""
+    x, y = asks.alias("x"), own.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    pair = x.join(y, [*same, F.col("x.form") < F.col("y.form")])
+    return pair.select(F.col("x.form").alias("a"), F.col("y.form").alias("b"))
+
+
+def candidates(forms: DataFrame, most: int = PAIRS) -> DataFrame:
+    """(a, b), a < b, distinct: pairs of forms (column form, distinct) that may spell one name; none that ``match`` takes is missing."""
+    spark = forms.sparkSession
+    n = partitions(spark)
+    toks = F.split("form", " ")
+    words = forms.select("form", (F.size(toks) == 1).alias("one"), F.explode(F.array_distinct(toks)).alias("t")).where("length(t) > 1")
+    words = cut(words)
+    near = cut(near_tokens(words.select("t").distinct()))
+    own = words.select("form", "one", F.col("t").alias("u"))
+    asks = cut(words.select("form", "one", "t", F.col("t").alias("u")).unionByName(words.join(near, "t").select("form", "one", "t", "u")))
+    # a name of one word meets others of one word only
+    out = [_joined(asks.where("one"), own.where("one"), "u")]
+    own, asks = own.where("not one").drop("one"), asks.where("not one").drop("one")
+    heat = asks.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(own.groupBy("u").agg(F.count(F.lit(1)).alias("m")), "u")
+    hot = cut(heat.where(F.col("n") * F.col("m") > most).select("u"))
+    cool = asks.join(hot, "u", "left_anti")
+    out.append(_joined(cool, own, "u"))
+    mine = own.join(hot, "u").groupBy("form").agg(F.collect_set("u").alias("own"))
+    theirs = asks.join(hot, "u").groupBy("form").agg(F.collect_set(F.struct("t", "u")).alias("asks"))
+    todo = cut(theirs.join(mine, "form", "left"))
+
+    def level(size: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for form, exact, asked in zip(pdf.form, pdf.own, pdf.asks, strict=True):
+                    tokens = form.split(" ")
+                    have = set(exact) if exact is not None else set()
+                    reach: dict[str, set[str]] = {}
+                    for p in asked:
+                        reach.setdefault(p["t"], set()).add(p["u"])
+                    for k, rest in set(_refined(tokens, [{t} & have for t in tokens], False, size)):
+                        rows.append((_hash(k), form, False, rest))
+                    for k, rest in set(_refined(tokens, [reach.get(t, set()) for t in tokens], True, size)):
+                        rows.append((_hash(k), form, True, rest))
+                yield pd.DataFrame(rows, columns=["key", "form", "asking", "rest"]).astype({"asking": bool, "rest": "int32"})
+
+        return run
+
+    for size in range(2, DEEPEST + 1):
+        if todo.isEmpty():
+            break
+        rows = cut(todo.where(F.size(F.split("form", " ")) >= size).repartition(n).mapInPandas(level(size), "key long, form string, asking boolean, rest int"))
+        a, o = rows.where("asking").drop("asking"), rows.where("not asking").drop("asking")
+        if size == DEEPEST:
+            out.append(_joined(a, o, "key"))
+            break
+        heat = a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(o.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
+        hot = cut(heat.where(F.col("n") * F.col("m") > most).select("key"))
+        out.append(_joined(a.join(hot, "key", "left_anti"), o, "key"))
+        # of a hot key only the names that it spells whole are joined; the others need one more token
+        out.append(_joined(a.join(hot, "key").where("rest = 0"), o.where("rest = 0"), "key"))
+        more = rows.join(hot, "key").select("form").distinct()
+        todo = cut(todo.join(more, "form", "left_semi"))
+    out.append(_run_together_pairs(forms))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every.distinct()
+
+
+def _run_together_pairs(forms: DataFrame) -> DataFrame:
+    """(a, b), a < b: forms of one word and forms of several whose words run together within one typing error.
+
+    One error leaves the first or the second half of a word as it was, unless it swaps the two letters in the middle.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
             for form in pdf.form:
-                toks = form.split(" ")
-                keys = {"=" + " ".join(sorted(toks))}
-                rare = [w for w in toks if w not in common and len(w) > 1]
-                for w in rare:
-                    keys |= deletes(w)
-                words = [w for w in toks if len(w) > 1]
-                if len(words) >= 2:
-                    for o in (words, words[::-1], [words[-1], *words[:-1]]):
-                        keys |= {"+" + d for d in deletes("".join(o))}
-                elif len(form) >= 8:
-                    keys |= {"+" + d for d in deletes(form)}
-                out += [(xxhash.xxh3_64_intdigest(k) - (1 << 63), form) for k in keys]
-            yield pd.DataFrame(out, columns=["key", "form"])
-
-    return forms.mapInPandas(run, "key long, form string")
-
-
-def form_links(forms: DataFrame) -> DataFrame:
+                words = [w for w in form.split(" ") if len(w) > 1]
+                if " " not in form and len(form) >= RUN_TOGETHER:
+                    keys = set()
+                    for n in range(len(form) - 1, len(form) + 2):
+                        h = n // 2
+                        keys |= {f"{n}<{form[:h]}", f"{n}>{form[h - n:]}"}
+                    h = len(form) // 2
+                    keys.add(f"{len(form)}<{form[: h - 1]}{form[h]}")
+                    rows += [(_hash(k), form, True) for k in keys]
+                elif " " in form and len(words) >= 2:
+                    keys = {k for j in _run_together(words) for n in [len(j)] for k in (f"{n}<{j[: n // 2]}", f"{n}>{j[n // 2:]}")}
+                    rows += [(_hash(k), form, False) for k in keys]
+            yield pd.DataFrame(rows, columns=["key", "form", "one"]).astype({"one": bool})
+
+    keys = forms.select("form").repartition(partitions(forms.sparkSession)).mapInPandas(run, "key long, form string, one boolean")
+    x, y = keys.where("one").alias("x"), keys.where("not one").alias("y")
+    return x.join(y, F.col("x.key") == F.col("y.key")).select(F.least("x.form", "y.form").alias("a"), F.greatest("x.form", "y.form").alias("b"))
+
+
+def form_links(forms: DataFrame, most: int = PAIRS) -> DataFrame:
     """(a, b, strength): pairs of different forms (column form, distinct) that spell one name, a < b."""
-    n = forms.count()
-    least = max(FREQUENT_LEAST, n // FREQUENT_SHARE)
-    words = forms.select(F.explode(F.array_distinct(F.split("form", " "))).alias("w"))
-    frequent = frozenset(r.w for r in words.groupBy("w").count().where(F.col("count") > least).collect())
-    index = cut(_index(forms, frequent))
-    many = index.groupBy("key").count().where("count > 1").select("key")
-    index = cut(index.join(many, "key", "left_semi"))
-    a, b = index.alias("a"), index.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.form") < F.col("b.form")))
-        .select(F.col("a.form").alias("a"), F.col("b.form").alias("b"))
-        .distinct()
-    )
-    shared = forms.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = shared.value
         for pdf in batches:
-            s = [match(x.split(" "), y.split(" "), common) for x, y in zip(pdf.a, pdf.b, strict=True)]
+            s = [match(x.split(" "), y.split(" ")) for x, y in zip(pdf.a, pdf.b, strict=True)]
             yield pdf.assign(strength=pd.Series(s, dtype="int32", index=pdf.index))[lambda p: p.strength > 0]
 
+    pairs = candidates(forms, most).repartition(partitions(forms.sparkSession))
     return pairs.mapInPandas(run, "a string, b string, strength int")
 
 
