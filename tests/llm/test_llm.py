@@ -183,8 +183,9 @@ def top_pairs(x, ids, k=5, least=0.9):
 
 
 def test_similar_pairs(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD", 150)
-    monkeypatch.setattr(vectors, "SPLIT", 200)
+    # several levels of splitting, shards split by hash, and shards asked in several chunks
+    for name, value in (("SHARD", 60), ("SPLIT", 90), ("FANOUT", 4), ("ASKERS", 64)):
+        monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(5)
     base = rng.standard_normal((700, 64))
     x = np.concatenate([base, base[:300] + 0.25 * rng.standard_normal((300, 64)), base[:150] + 0.2 * rng.standard_normal((150, 64)), np.repeat(base[5:6], 40, 0)]).astype(np.float32)
@@ -200,14 +201,55 @@ def test_similar_pairs(spark, monkeypatch):
 
 
 def test_graph_search_recall():
+    """At the values used in production, for rows of the graph and for others."""
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((2000, 64)).astype(np.float32)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    x[1500:] = x[:1500] + 0.4 * rng.standard_normal((1500, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = x[::20] + 0.05 * rng.standard_normal((100, 64)).astype(np.float32)
-    ids, _ = Graph(x).search(q, 5, ef=64)
-    true = np.argsort(-(q @ x.T), axis=1)[:, :5]
-    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids, true, strict=True)]) >= 0.9
+    q = x[::20] + 0.05 * rng.standard_normal((150, 64)).astype(np.float32)
+    g = Graph(x)
+    ids, _ = g.search(q, 5, ef=vectors.EF)
+    true = np.argsort(-(q @ x.T), axis=1)[:, 0]
+    assert np.mean([t in i for i, t in zip(ids, true, strict=True)]) >= 0.99
+    ids, _ = g.search(x, 6, ef=vectors.EF, own=np.arange(3000))
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    near = np.argsort(-s, axis=1)[:, 0]
+    ok = s.max(1) >= 0.85
+    assert ok.sum() > 1000 and np.mean([t in i for i, t in zip(ids[ok], near[ok], strict=True)]) >= 0.99
     assert Graph(x[:1]).search(q[:2], 3)[0].tolist() == [[0, -1, -1]] * 2
+    assert Graph(x[:0]).search(q[:1], 2)[0].tolist() == [[-1, -1]]
+
+
+def test_rows_come_from_the_graph(spark):
+    """Without the search of the graph there is no pair."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 64))
+    x = np.concatenate([x, x + 0.1 * rng.standard_normal(x.shape)])
+    rows = spark.createDataFrame([(f"v{i}", [float(z) for z in v]) for i, v in enumerate(x)], "id string, v array<float>")
+    assert vectors.neighbours(rows, 64).count() >= 390
+
+
+    class Blind(Graph):
+        def search(self, q, k, *_):
+            return np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+
+    assert vectors.neighbours(rows, 64, index=Blind).isEmpty()
+
+
+def test_routing_tree():
+    rng = np.random.default_rng(9)
+    u = rng.standard_normal((500, 16)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    tree = [(u[:4], [0, -2, 2, 3]), (u[10:14], [4, 5, 6, 7])]
+    row, shard, own = vectors.route(u, tree, 0.1)
+    home = (u @ u[:4].T).argmax(1)
+    below = 4 + (u @ u[10:14].T).argmax(1)
+    assert (shard[own] == np.where(home == 1, below, home)).all() and (row[own] == np.arange(500)).all()
+    assert len(set(zip(row, shard, strict=True))) == len(row) and (~own).sum() > 50
+    g = u @ u[:4].T
+    want = {(i, s) for i, s in zip(*np.nonzero(g >= g.max(1)[:, None] - 0.1), strict=True) if s != home[i] and s != 1}
+    assert {(r, s) for r, s, o in zip(row, shard, own, strict=True) if not o and s < 4} == want
 
 
 # --- names ---
