@@ -152,7 +152,7 @@ def upsert_entities(entities: DataFrame, seen: DataFrame) -> DataFrame:
     aliases = F.when(F.col("n").isNull(), F.col("o.aliases")).otherwise(F.concat(own, F.array_except(F.coalesce("more", F.array().cast("array<string>")), own)))
     fresh = F.col("o.id").isNull()
     value = {
-        "id": F.coalesce("o.id", F.concat(F.lit("ent-"), F.substring(F.sha2("n", 256), 1, 12))), "name": F.coalesce("o.name", "n"),
+        "id": F.coalesce("o.id", F.concat(F.lit("ent-"), F.substring(F.sha2("n", 256), 1, 32))), "name": F.coalesce("o.name", "n"),
         "type": F.when(fresh, F.col("nt")).otherwise(F.col("o.type")), "aliases": aliases, "firstseen": F.when(fresh, F.col("seen")).otherwise(F.col("o.firstseen")),
     }
     return j.select(*[(value[c] if c in value else F.col(f"o.{c}")).alias(c) for c in entities.columns])

@@ -108,7 +108,7 @@ def write_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 , nw AS (SELECT name, any_value(type) AS type FROM ent WHERE active GROUP BY 1), old AS (SELECT DISTINCT ON (name) id, name FROM ent WHERE key IS NOT NULL ORDER BY name, id)
-SELECT coalesce(old.id, 'ent-' || substring(sha256(nw.name), 1, 12)) AS id, coalesce(old.name, nw.name) AS name FROM old FULL JOIN nw ON nw.name = old.name""")
+SELECT coalesce(old.id, 'ent-' || substring(sha256(nw.name), 1, 32)) AS id, coalesce(old.name, nw.name) AS name FROM old FULL JOIN nw ON nw.name = old.name""")
 def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Entities with a key, met by a delivery of all active ones."""
     e = table(spark, d, "entities", "id", "name", "type", "aliases", "firstseen", "active", "key")

@@ -31,13 +31,13 @@ def capture_batch(state: GraphState, facts: DataFrame) -> dict[str, int]:
     outcome = cut(write_facts(f, memory))
     new = f.join(outcome.where("outcome = 'written'").select("fact_id"), "fact_id", "left_semi")
     rows = new.select(
-        F.concat(F.lit("mem-"), F.substring("writekey", 1, 12)).alias("id"), "sessionid", "writekey", "content", "kind", F.col("observed").alias("timestamp"), F.col("observed").alias("validfrom"),
+        F.concat(F.lit("mem-"), F.substring("writekey", 1, 32)).alias("id"), "sessionid", "writekey", "content", "kind", F.col("observed").alias("timestamp"), F.col("observed").alias("validfrom"),
         text.unit_interval(F.col("confidence")).alias("confidence"), text.unit_interval(F.col("salience")).alias("salience"), F.lit("raw").alias("status"), F.col("embedding").cast("array<float>").alias("embedding"),
     )
     counts = {r.outcome: r["count"] for r in outcome.groupBy("outcome").count().collect()}
     if counts.get("written"):
         full = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in memory.dtypes])
-        state.commit({"memory": memory.unionByName(full)})
+        state.commit({}, append={"memory": full})
     return counts
 
 
