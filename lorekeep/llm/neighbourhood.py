@@ -1,47 +1,55 @@
 """Deduplicating new batches against all history.
 
-Method: multi-key sorted-neighbourhood runs.  Every distinct word set gets several sort keys; the keyed
-rows of a batch form a sorted run.  A new batch is merged with the persisted runs key range by key
-range, and only the windows around new records, the stretches of equal keys, are compared.  Runs are
-compacted into one when there are too many of them.
+Method: multi-key sorted-neighbourhood runs.  Every distinct word set gets several sort keys; the keyed rows of a batch
+form a run, sorted by key and stored by key range.  A new batch reads only the ranges its keys touch, is merged with
+their rows, and only the windows around new records, the stretches of equal keys, are compared.  Word sets are
+fetched for candidates only.  Runs of one size are compacted into one of the next size (``FAN`` at a time), so a
+row is rewritten a logarithmic number of times.
 
-Keys.  A fixed order of words, rarest first, is agreed once: words in more than ``1/1000`` of the texts (and
-more than 64) are *frequent* and ordered by their count; all others are *rare*, in bytewise order.  At most
-``1000 x`` the mean text length words can be frequent, which bounds the broadcast table.  With Jaccard
-similarity of at least ``t`` two sets of sizes n and m share at least ``o = ceil(t/(1+t) (n+m))`` words, so the
-keys below miss no pair:
+Keys.  A fixed order of words, rarest first: words in more than ``LIMIT`` texts are *frequent* and ordered by their
+count; all others are *rare*, in bytewise order.  (If more than ``MOST`` words are frequent, the limit is
+raised so that their table stays that small; no pair is lost, but blocks of rare words grow.)  With Jaccard similarity of at
+least ``t`` two sets of sizes n and m share at least ``o = ceil(t/(1+t) (n+m))`` words, so the keys below miss no pair:
 
 * rare: each rare word among the first ``n - ceil(t n) + 1`` words;
 * common: for pairs that share no rare word, the three first shared words are frequent and lie among the
-  first ``c - o + 3`` frequent words, c their number: all triples of these;
+  first ``c - o + 3`` frequent words, c their number: all triples of these, made for each class of partner sizes that
+  there is (for o < 3 single words);
 * large (sets of more than 48 words, and every set that can be similar to one): each of the
   first ``n - ceil(t n) + 1`` words.
 
 A pair that shares a rare word is found by a rare key, as its rarest shared word lies in both prefixes.
 
 Scale: exact copies (equal word sets) are one class before any comparison, so a group of copies is compared
-once; hot keys are equi-joins that AQE splits; only the frequent words reach the driver.
+once; hot keys are equi-joins that AQE splits; only the frequent words, the size classes and the numbers of
+touched ranges reach the driver.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.runtime import cut, partitions
+from lorekeep.runtime import clean, cut, maybe_broadcast, partitions, shared_dir
+from lorekeep.sources.versions import Versions
 
 SIMILARITY = 0.6
 LARGE = 48
-FREQUENT_SHARE, FREQUENT_LEAST = 1000, 64
-
-# A key row is (class, key, meta); meta packs kind, position, frequent words and words into 2 + 3 x 20 bits, as these rows
-# make up most of the shuffle.
+#: Texts a word may be in before it is frequent; most frequent words.
+LIMIT, MOST = 128, 2_000_000
+#: Rows of a key range; runs of one size that are compacted; growth from which the word order is made anew.
+RANGE_ROWS, FAN, STALE = 1_000_000, 4, 8
+#: Batches of days that the raw memories are taken in.
+BATCHES = 3
+
+# A key row is (h, key, meta), h a 64-bit hash of the class; meta packs kind, position, frequent words and words into 2 + 3 x 20
+# bits, as these rows make up most of the shuffle.
 _BITS = 20
 _MASK = (1 << _BITS) - 1
 
@@ -52,17 +60,39 @@ def words_of(text):
 
 
 def word_classes(texts: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Adds ``words`` and ``cls``, a 128-bit fingerprint of the word set; texts without any word or null are left out."""
+    """Adds ``words``, ``cls``, a 128-bit fingerprint of the word set, and ``h``, its 64-bit hash; texts without any word or null are left out."""
     w = texts.select(*keep, words_of(F.col(text)).alias("words")).where("size(words) > 0")
-    return w.withColumn("cls", F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32)))
+    return w.withColumn("cls", F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32))).withColumn("h", F.xxhash64("cls"))
+
+
+def size_class(n: int) -> int:
+    """Sizes of one class differ by about a tenth."""
+    return int(math.log(n) / math.log(1.1) + 1e-9)
+
+
+def sizes_of(k: int) -> tuple[int, int]:
+    """Smallest and largest size of a class."""
+    lo = max(1, int(1.1**k) - 1)
+    while size_class(lo) < k:
+        lo += 1
+    hi = lo
+    while size_class(hi + 1) == k:
+        hi += 1
+    return lo, hi
 
 
 def frequent_words(classes: DataFrame) -> dict[str, int]:
-    """Words in more than 1/1000 of the classes with their counts; bounded as the module text says."""
-    n = classes.count()
-    least = max(FREQUENT_LEAST, n // FREQUENT_SHARE)
-    df = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > least)
-    return {r.w: r.k for r in df.collect()}
+    """Words in more than ``LIMIT`` of the classes with their counts, at most about ``MOST``."""
+    total = classes.agg(F.sum(F.size("words"))).first()[0] or 0
+    df = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(LIMIT, total // MOST))
+    got = df.toPandas()
+    return dict(zip(got["w"], got["k"].astype(int), strict=True))
+
+
+def size_classes(classes: DataFrame) -> list[int]:
+    """The size classes of the word sets that the common keys are made for."""
+    sizes = classes.select(F.size("words").alias("n")).where(F.col("n") <= LARGE).distinct().collect()
+    return sorted({size_class(r.n) for r in sizes})
 
 
 def _hash(text: str) -> int:
@@ -71,11 +101,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def keys_of(words: list[str], frequent: dict[str, int], t: float = SIMILARITY) -> Iterator[tuple[int, int, int, int, int]]:
-    """(key, n, c, pos, kind) of a set; kind 0 rare, 1 common triple, 2 large.
+def keys_of(words: list[str], frequent: dict[str, int], sizes: list[tuple[int, int, int]], t: float = SIMILARITY) -> Iterator[tuple[int, int, int, int, int]]:
+    """(key, n, c, pos, kind) of a set; kind 0 rare, 1 common triple, 2 large, 3 common single.
 
-    pos is how many words of the ordering the key reaches into: a later check drops windows that the
-    sizes of the two sets rule out.
+    ``sizes``: (class, smallest, largest) of the partner sizes there are.  pos is how many words of the ordering the key reaches
+    into: a later check drops windows that the sizes of the two sets rule out.
     """
     n = len(words)
     rare = [w for w in words if w not in frequent]
@@ -88,34 +118,41 @@ def keys_of(words: list[str], frequent: dict[str, int], t: float = SIMILARITY) -
         return
     for i, w in enumerate(rare[:prefix]):
         yield _hash("R" + w), n, c, i + 1, 0
-    # the smallest partner that could still match without sharing a rare word
-    smallest = max(math.ceil(t * n - 1e-9), 1)
-    need = math.ceil(t / (1 + t) * (n + smallest) - 1e-9)
-    if need > c or c == 0:
-        return
-    first = common[: c - need + 3]
-    if need < 3:  # so few shared words that there may be no triple: single words
-        for i, w in enumerate(common[: c - need + 1]):
-            yield _hash("S" + w), n, c, i + 1, 3
-    for (_, a), (_, b), (k, d) in combinations(list(enumerate(first)), 3):
-        yield _hash(f"C{a} {b} {d}"), n, c, k + 1, 1
-
-
-def keyed(classes: DataFrame, frequent: dict[str, int], t: float = SIMILARITY) -> DataFrame:
-    """(cls, key, meta): the sort keys of each class (columns cls, words).  Sets beyond 2**20 words are refused."""
-    shared = classes.sparkSession.sparkContext.broadcast(frequent)
+    own = size_class(n)
+    shared = lambda m: math.ceil(t / (1 + t) * (n + m) - 1e-9)
+    for k, lo, hi in sizes:
+        lo, hi = max(lo, math.ceil(t * n - 1e-9), 1), min(hi, math.floor(n / t + 1e-9), LARGE)
+        if lo > hi or shared(lo) > c:
+            continue
+        tag = f"{min(own, k)} {max(own, k)}"
+        if shared(lo) < 3:  # so few shared words that there may be no triple
+            for i, w in enumerate(common[: c - shared(lo) + 1]):
+                yield _hash(f"S{tag} {w}"), n, c, i + 1, 3
+        if shared(hi) >= 3:
+            for (_, a), (_, b), (i, d) in combinations(list(enumerate(common[: c - max(shared(lo), 3) + 3])), 3):
+                yield _hash(f"C{tag} {a} {b} {d}"), n, c, i + 1, 1
+
+
+def keyed(classes: DataFrame, frequent: dict[str, int], sizes: list[int], t: float = SIMILARITY) -> DataFrame:
+    """(h, key, meta): the sort keys of each class (columns h, words)."""
+    shared = classes.sparkSession.sparkContext.broadcast((frequent, [(k, *sizes_of(k)) for k in sizes]))
+
+    def pack(n: int, c: int, pos: int, kind: int) -> int:
+        if n > _MASK:  # no place for such a size: positions rule nothing out
+            n, c, pos = _MASK, min(c, _MASK), 0
+        return kind | pos << 2 | c << 2 + _BITS | n << 2 + 2 * _BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
+        table, known = shared.value
         for pdf in batches:
             out = [
-                (cls, key, kind | pos << 2 | c << 2 + _BITS | n << 2 + 2 * _BITS)
-                for cls, words in zip(pdf.cls, pdf.words, strict=True)
-                for key, n, c, pos, kind in keys_of(list(words), table, t)
+                (h, key, pack(n, c, pos, kind))
+                for h, words in zip(pdf.h, pdf.words, strict=True)
+                for key, n, c, pos, kind in keys_of(list(words), table, known, t)
             ]
-            yield pd.DataFrame(out, columns=["cls", "key", "meta"])
+            yield pd.DataFrame(out, columns=["h", "key", "meta"])
 
-    return classes.select("cls", "words").mapInPandas(run, f"cls {dict(classes.dtypes)['cls']}, key long, meta long")
+    return classes.select("h", "words").mapInPandas(run, "h long, key long, meta long")
 
 
 def _part(side: str, name: str):
@@ -124,7 +161,7 @@ def _part(side: str, name: str):
 
 
 def windows(new: DataFrame, runs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: classes that lie in one window, of which at least one is new; not yet verified.
+    """(a, b): classes of ``new`` and of ``runs`` (as h) that lie in one window; not yet verified.
 
     Both sides are sorted by key and merged; of each window only the pairs whose sizes and positions allow
     the similarity go on.
@@ -141,161 +178,227 @@ def windows(new: DataFrame, runs: DataFrame, t: float = SIMILARITY) -> DataFrame
     place = F.when(kind == 0, single).when(kind == 2, single & large).otherwise(small)
     same_kind = kind == F.col("y.meta").bitwiseAND(F.lit(3).cast("long"))
     return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & same_kind & (F.col("x.cls") != F.col("y.cls")) & fits & place)
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & same_kind & (F.col("x.h") != F.col("y.h")) & fits & place)
+        .select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
         .distinct()
     )
 
 
-def verify(pairs: DataFrame, classes: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity) of the pairs whose word sets reach ``t``."""
-    w = classes.select("cls", "words")
-    l, r = w.select(F.col("cls").alias("a"), F.col("words").alias("wa")), w.select(F.col("cls").alias("b"), F.col("words").alias("wb"))
+def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity), a and b as cls: the pairs (of h) whose word sets reach ``t``."""
+    l = left.select(F.col("h").alias("a"), F.col("cls").alias("ca"), F.col("words").alias("wa"))
+    r = right.select(F.col("h").alias("b"), F.col("cls").alias("cb"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
-    out = pairs.join(l, "a").join(r, "b").withColumn("both", both)
+    out = pairs.join(r, "b").join(l, "a").withColumn("both", both)
     sim = F.col("both") / (F.size("wa") + F.size("wb") - F.col("both"))
-    return out.withColumn("similarity", sim).where(F.col("similarity") >= t).select("a", "b", "similarity")
-
-
-def near_duplicate_classes(new: DataFrame, history: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): pairs of word-set classes (columns cls, words, one row per class in each), at least one of
-    ``new``.  ``history`` may share classes with ``new``."""
-    every = cut(
-        new.select("cls", "words", F.lit(True).alias("is_new"))
-        .unionByName(history.select("cls", "words", F.lit(False).alias("is_new")))
-        .groupBy("cls")
-        .agg(F.any_value("words").alias("words"), F.max("is_new").alias("is_new"))
-        .select(F.col("cls").alias("print"), F.monotonically_increasing_id().alias("cls"), "words", "is_new")
-    )
-    frequent = frequent_words(every)
-    # running numbers, half as wide as fingerprints, stand for the classes in the keys
-    pairs = windows(keyed(every.where("is_new"), frequent, t), keyed(every, frequent, t), t)
-    near = verify(pairs, every, t)
-    a = every.select(F.col("cls").alias("a"), F.col("print").alias("pa"))
-    b = every.select(F.col("cls").alias("b"), F.col("print").alias("pb"))
-    return near.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "similarity")
+    return out.withColumn("similarity", sim).where(F.col("similarity") >= t).select(F.col("ca").alias("a"), F.col("cb").alias("b"), "similarity")
 
 
-def memory_repeats(memories: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """(id_a, id_b): raw memories and the reviewed ones, or raw ones of another day, with nearly the same words.
-
-    All days' batches are taken in one pass: a raw memory's window holds the reviewed memories and the raw
-    ones of all days, and each pair of days is kept once, so the result is that of one merge per day.
-    Rows repeated under one id count once.  A raw memory without timestamp lies on no known day, so it is
-    compared with reviewed memories only.  Null and wordless contents equal nothing.
-    """
-    status = F.lower(F.regexp_replace("status", r"^\s+|\s+$", ""))
-    m = memories.select("id", "content", status.alias("st"), F.to_date("timestamp").alias("day"))
-    m = m.where("st in ('raw', 'reviewed') and id is not null").dropDuplicates(["id"])
-    m = cut(word_classes(m, "content", "id", "st", "day"))
-    raw = m.where("st = 'raw'")
-    pairs = near_duplicate_classes(raw.select("cls", "words").dropDuplicates(["cls"]), m.select("cls", "words").dropDuplicates(["cls"]), t)
-    member = m.select("cls", "id", "st", "day")
-    same = member.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct()
-    linked = pairs.select("a", "b").unionByName(same)
-    l = member.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("st").alias("sa"), F.col("day").alias("da"))
-    r = member.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("st").alias("sb"), F.col("day").alias("db"))
-    wanted = "ia <> ib and (sa = 'raw' or sb = 'raw') and (sa = 'reviewed' or sb = 'reviewed' or da <> db)"
-    return (
-        linked.join(l, "a")
-        .join(r, "b")
-        .where(wanted)
-        .where("a <> b or ia < ib")
-        .select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-    )
+def range_of(column: str, bits: int):
+    """The key range of a 64-bit value: its first ``bits`` bits."""
+    return F.shiftrightunsigned(column, 64 - bits).cast("int") if bits else F.lit(0)
 
 
 class SortedRuns:
     """Persisted runs of an accepted history in a shared folder.
 
-    Layout: ``classes/run=K`` (cls, words), ``members/run=K`` (cls, id), ``keys/run=K`` (cls, key, ...) sorted
-    by key within files that cover key ranges, and ``order.json``, the frequent words fixed at the first batch and
-    renewed by ``compact``.  The order only decides speed: any fixed order finds every pair.
+    Layout: ``classes/run=K/range=R`` (h, cls, words) and ``members/run=K/range=R`` (h, cls, id, carried columns) by the first
+    bits of h, ``keys/run=K/range=R`` (h, key, meta) by those of key and sorted, ``order/v=K``, the frequent words,
+    and a versioned manifest, so readers see a batch accepted or not, never half.  The word order only decides
+    speed: any fixed order finds every pair.  It is made from the first batch, or by ``order``, and anew when the
+    history has grown ``STALE`` times or a text of an unknown size class comes.
+
+    ``carry``: columns kept with every record, for the condition of ``ingest``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, t: float = SIMILARITY, max_runs: int = 8):
-        self.spark, self.path, self.t, self.max_runs = spark, path.rstrip("/"), t, max_runs
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict:
-        jvm, fs = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
-        if not fs.exists(p):
-            return {"runs": [], "next": 0, "frequent": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0])
-
-    def _commit(self, manifest: dict) -> None:
-        jvm, fs = self._fs()
-        tmp, final = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("manifest.tmp", "manifest.json"))
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        fs.delete(final, False)
-        fs.rename(tmp, final)
-
-    def _read(self, kind: str, manifest: dict) -> DataFrame | None:
-        runs = [f"{self.path}/{kind}/run={k}" for k in manifest["runs"]]
-        return self.spark.read.parquet(*runs) if runs else None
-
-    def _write(self, manifest: dict, classes: DataFrame, members: DataFrame) -> None:
-        k = manifest["next"]
-        n = partitions(self.spark)
-        classes.write.mode("overwrite").parquet(f"{self.path}/classes/run={k}")
-        members.write.mode("overwrite").parquet(f"{self.path}/members/run={k}")
-        keys = keyed(classes, manifest["frequent"], self.t).repartitionByRange(n, "key").sortWithinPartitions("key")
-        keys.write.mode("overwrite").parquet(f"{self.path}/keys/run={k}")
-        manifest["runs"].append(k)
-        manifest["next"] = k + 1
-
-    def ingest(self, batch: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, t: float = SIMILARITY, carry: tuple[str, ...] = ()):
+        self.spark, self.path, self.t, self.carry = spark, path.rstrip("/"), t, carry
+        self._versions = Versions(spark, self.path, "manifest")
+
+    def manifest(self) -> tuple[int, dict]:
+        n, m = self._versions.read()
+        return n, m or {"runs": [], "next": 0, "order": None, "sizes": [], "ordered_at": 0}
+
+    # --- word order
+
+    def order(self, classes: DataFrame) -> None:
+        """Fix the word order by the classes (column words) of a whole collection, before the first batch."""
+        n, m = self.manifest()
+        self._order(m, frequent_words(classes), size_classes(classes), 0)
+        self._versions.write(n, m)
+
+    def _order(self, m: dict, frequent: dict[str, int], sizes: list[int], classes: int) -> None:
+        at = f"order/v={m['next']}"
+        m["next"] += 1
+        self.spark.createDataFrame(pd.DataFrame({"w": list(frequent), "k": list(frequent.values())}, dtype=object), "w string, k long").write.mode("overwrite").parquet(f"{self.path}/{at}")
+        m |= {"order": at, "sizes": sizes, "ordered_at": classes}
+
+    def _frequent(self, m: dict) -> dict[str, int]:
+        got = self.spark.read.parquet(f"{self.path}/{m['order']}").toPandas()
+        return dict(zip(got["w"], got["k"].astype(int), strict=True))
+
+    # --- runs
+
+    def _paths(self, kind: str, m: dict, touched: set[int] | None, most_bits: int) -> list[str]:
+        out = []
+        for r in m["runs"]:
+            bits, there = r["bits"][kind], r["ranges"][kind]
+            want = there if touched is None else sorted({x >> most_bits - bits for x in touched} & set(there))
+            out += [f"{self.path}/{kind}/run={r['id']}/range={x}" for x in want]
+        return out
+
+    def _read(self, kind: str, m: dict, near: DataFrame | None = None, column: str = "") -> DataFrame | None:
+        """The stored rows of the ranges that ``column`` of ``near`` touches, or all."""
+        bits = max((r["bits"][kind] for r in m["runs"]), default=0)
+        touched = None
+        if near is not None:  # no more numbers than there are ranges
+            touched = {r[0] for r in near.select(range_of(column, bits)).distinct().collect()}
+        paths = self._paths(kind, m, touched, bits)
+        if near is not None:
+            self.last_read.setdefault(kind, []).extend(paths)
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _store(self, kind: str, k: int, rows: DataFrame, by: str, n: int) -> tuple[int, list[int]]:
+        bits = max(0, math.ceil(math.log2(max(1, n / RANGE_ROWS))))
+        files = max(1, min(partitions(self.spark), -(-n // 20_000)))
+        out = rows.withColumn("range", range_of(by, bits)).repartitionByRange(max(files, 2**bits), by).sortWithinPartitions("range", by)
+        out.write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/{kind}/run={k}")
+        at = self._versions.at(f"{kind}/run={k}")
+        there = [s.getPath().getName() for s in self._versions.fs.listStatus(at)]
+        return bits, sorted(int(x.removeprefix("range=")) for x in there if x.startswith("range="))
+
+    def _write(self, m: dict, classes: DataFrame, members: DataFrame, keys: DataFrame, tier: int) -> None:
+        k, run = m["next"], {"id": m["next"], "tier": tier, "bits": {}, "ranges": {}}
+        for kind, rows, by in (("classes", classes.select("h", "cls", "words"), "h"), ("members", members.select("h", "cls", "id", *self.carry), "h"), ("keys", keys, "key")):
+            n = rows.count()
+            run["bits"][kind], run["ranges"][kind] = self._store(kind, k, rows, by, n) if n else (0, [])
+            run[kind] = n
+        m["runs"].append(run)
+        m["next"] = k + 1
+
+    def ingest(self, batch: DataFrame, ident: str = "id", text: str = "content", wanted: str | None = "true", within: bool = False) -> DataFrame | None:
         """(id, match_id, similarity): each record of the batch with its (near-)copies among all accepted records.
 
-        The batch is then accepted as a run of its own.  Records inside the batch are not compared.  A batch
-        without usable text changes nothing.
+        The batch is then accepted as a run of its own.  ``wanted``: a condition on the carried columns of the new record and, with
+        ``old_`` before their names, of its counterpart; None accepts the batch without comparing it.  ``within``: compare the
+        batch's records with each other as well, each pair once.  Ids repeated count once; a batch without usable text
+        changes nothing.
         """
-        manifest = self._manifest()
-        rows = cut(word_classes(batch.dropDuplicates([ident]), text, ident))
-        classes = cut(rows.groupBy("cls").agg(F.any_value("words").alias("words")))
-        members = rows.select("cls", F.col(ident).alias("id"))
-        if not manifest["runs"]:
-            manifest["frequent"] = frequent_words(classes)
-        old, old_members = self._read("classes", manifest), self._read("members", manifest)
-        if old is None:
-            found = cut(members.select("id", F.col("id").alias("match_id"), F.lit(0.0).alias("similarity")).where("false"))
-        else:
-            pairs = windows(keyed(classes, manifest["frequent"], self.t), self._read("keys", manifest).drop("run"), self.t)
-            both = old.select("cls", "words").unionByName(classes).dropDuplicates(["cls"])
-            near = verify(pairs, both, self.t)
-            near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-            same = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"))
-            new_side = members.select(F.col("cls").alias("a"), "id")
-            old_side = old_members.select(F.col("cls").alias("b"), F.col("id").alias("match_id"))
-            found = cut(
-                near.unionByName(same).join(new_side, "a").join(old_side, "b").where("id <> match_id")
-                .select("id", "match_id", "similarity").distinct()
-            )
-        if not classes.isEmpty():
-            self._write(manifest, classes, members)
-            self._commit(manifest)
-            if len(manifest["runs"]) > self.max_runs:
-                self.compact()
+        number, m = self.manifest()
+        self.last_read: dict[str, list[str]] = {}
+        rows = cut(word_classes(batch.dropDuplicates([ident]), text, ident, *self.carry).withColumnRenamed(ident, "id"))
+        classes = rows.groupBy("cls").agg(F.any_value("h").alias("h"), F.any_value("words").alias("words"))
+        m = self._fit(m, classes)
+        frequent = self._frequent(m)
+        keys = cut(keyed(classes, frequent, m["sizes"], self.t))
+        found = self._compare(m, rows, classes, keys, wanted, within) if wanted is not None else None
+        stored = self._read("classes", m, classes, "h")
+        fresh = classes.select("h", "cls", "words")
+        if stored is not None:  # a class that is known needs no keys again
+            known = cut(fresh.select("h", "cls").join(stored.select("h", "cls"), ["h", "cls"], "left_semi"))
+            fresh = fresh.join(maybe_broadcast(known), ["h", "cls"], "left_anti")
+            keys = keys.join(maybe_broadcast(known.select("h")), "h", "left_anti")
+        if not rows.isEmpty():
+            self._write(m, fresh, rows, keys, 0)
+            self._compact(m)
+            self._versions.write(number, m)
         return found
 
-    def compact(self) -> None:
-        """Merge all runs into one with a fresh word order; readers of the old runs are not disturbed until the commit."""
-        manifest = self._manifest()
-        if not manifest["runs"]:
-            return
-        classes = cut(self._read("classes", manifest).select("cls", "words").dropDuplicates(["cls"]))
-        members = cut(self._read("members", manifest).select("cls", "id").distinct())
-        old, manifest["runs"], manifest["frequent"] = manifest["runs"], [], frequent_words(classes)
-        self._write(manifest, classes, members)
-        self._commit(manifest)
-        jvm, fs = self._fs()
-        for kind in ("classes", "members", "keys"):
-            for k in old:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/run={k}"), True)
+    def _fit(self, m: dict, classes: DataFrame) -> dict:
+        """Make or renew the word order where the batch needs it."""
+        known = sum(r["classes"] for r in m["runs"])
+        sizes = size_classes(classes)
+        if m["order"] is not None and set(sizes) <= set(m["sizes"]) and known < STALE * max(m["ordered_at"], 1000):
+            return m
+        old = self._read("classes", m)
+        every = classes.select("cls", "h", "words") if old is None else old.select("cls", "h", "words").unionByName(classes.select("cls", "h", "words"))
+        self._order(m, frequent_words(every), sorted({*sizes, *m["sizes"]}), known)
+        if m["runs"]:
+            self._merge(m, m["runs"], max(r["tier"] for r in m["runs"]), rekey=True)
+        return m
+
+    def _compare(self, m: dict, rows: DataFrame, classes: DataFrame, keys: DataFrame, wanted: str, within: bool) -> DataFrame:
+        carried = [F.col(c).alias(f"old_{c}") for c in self.carry]
+        old_keys = self._read("keys", m, keys, "key")
+        none = keys.select(F.col("h").alias("a"), F.col("h").alias("b")).where("false")
+        pairs = none if old_keys is None else windows(keys, old_keys.select("h", "key", "meta"), self.t)
+        if within:
+            pairs = pairs.unionByName(windows(keys, keys, self.t).where("a < b")).distinct()
+        pairs = cut(pairs)
+        words, members = classes.select("h", "cls", "words"), rows.select("h", "cls", F.col("id").alias("match_id"), *carried, F.lit(True).alias("own"))
+        theirs = pairs.select(F.col("b").alias("h")).distinct()
+        old_words = self._read("classes", m, theirs, "h")
+        right = words if within else words.where("false")
+        if old_words is not None:
+            right = right.unionByName(old_words.select("h", "cls", "words").join(maybe_broadcast(theirs), "h", "left_semi")).dropDuplicates(["cls"])
+        near = cut(verify(pairs, words, right, self.t))
+        linked = near.unionByName(words.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
+        linked = linked.withColumn("h", F.xxhash64("b"))
+        old_members = self._read("members", m, linked, "h")
+        sides = members if within else members.where("false")
+        if old_members is not None:
+            sides = sides.unionByName(old_members.select("h", "cls", F.col("id").alias("match_id"), *carried, F.lit(False).alias("own")))
+        new_side = rows.select(F.col("cls").alias("a"), "id", *self.carry)
+        hit = linked.drop("h").join(new_side, "a").join(sides.drop("h").withColumnRenamed("cls", "b"), "b")
+        # of two records of the batch with one word set only one order counts
+        hit = hit.where("id <> match_id and not (own and a = b and id > match_id)").where(wanted)
+        return cut(hit.select("id", "match_id", "similarity").distinct())
+
+    # --- compaction
+
+    def _merge(self, m: dict, runs: list[dict], tier: int, rekey: bool = False) -> None:
+        part = {**m, "runs": runs}
+        classes = self._read("classes", part).select("h", "cls", "words").dropDuplicates(["cls"])
+        members = self._read("members", part).select("h", "cls", "id", *self.carry).dropDuplicates(["id", "cls"])
+        keys = keyed(cut(classes), self._frequent(m), m["sizes"], self.t) if rekey else self._read("keys", part).select("h", "key", "meta").distinct()
+        gone = {r["id"] for r in runs}
+        m["runs"] = [r for r in m["runs"] if r["id"] not in gone]
+        self._write(m, classes, members, keys, tier)
+        m.setdefault("gone", []).extend(gone)
+
+    def _compact(self, m: dict) -> None:
+        """Merge ``FAN`` runs of a size into one of the next; files that the version before needed are removed."""
+        for k in m.pop("gone", []):
+            for kind in ("classes", "members", "keys"):
+                self._versions.fs.delete(self._versions.at(f"{kind}/run={k}"), True)
+        tier = 0
+        while tier <= max((r["tier"] for r in m["runs"]), default=-1):
+            same = [r for r in m["runs"] if r["tier"] == tier]
+            if len(same) >= FAN:
+                self._merge(m, same, tier + 1)
+            tier += 1
+
+    def drop(self) -> None:
+        """Remove the folder."""
+        self._versions.fs.delete(self._versions.at(""), True)
+
+
+def memory_repeats(memories: DataFrame, t: float = SIMILARITY, batches: int = BATCHES) -> DataFrame:
+    """(id_a, id_b): raw memories and the reviewed ones, or raw ones of another day, with nearly the same words.
+
+    The reviewed memories are the accepted history; the raw ones come in order, in ``batches`` of consecutive days, each compared with the
+    runs of all before and, day against day, with itself.  The result is that of one batch per day.  Rows repeated
+    under one id count once.  A raw memory without timestamp lies on no known day, so it is compared with reviewed
+    memories only.  Null and wordless contents equal nothing.
+    """
+    spark = memories.sparkSession
+    m = memories.select(F.col("id").cast("string").alias("id"), "content", clean(F.col("status")).alias("st"), F.to_date("timestamp").cast("string").alias("day"))
+    m = m.where("st in ('raw', 'reviewed') and id is not null").dropDuplicates(["id"])
+    days = m.where("st = 'raw' and day is not null").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    share = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)) / F.sum("n").over(Window.partitionBy())
+    turn = days.select("day", F.least(F.lit(batches - 1), F.floor(F.coalesce(share, F.lit(0.0)) * batches)).cast("int").alias("turn"))
+    m = cut(m.join(maybe_broadcast(turn), "day", "left"))
+    runs = SortedRuns(spark, f"{shared_dir(spark)}/runs-{uuid4().hex}", t, ("st", "day"))
+    try:
+        runs.order(word_classes(m, "content").dropDuplicates(["cls"]))
+        runs.ingest(m.where("st = 'reviewed'"), wanted=None)
+        found = []
+        for k in range(batches):
+            raw = m.where("st = 'raw'").where(F.coalesce("turn", F.lit(batches - 1)) == k)
+            found.append(runs.ingest(raw, wanted="old_st = 'reviewed' or day <> old_day", within=True))
+        every = found[0]
+        for x in found[1:]:
+            every = every.unionByName(x)
+        return every.select(F.least("id", "match_id").alias("id_a"), F.greatest("id", "match_id").alias("id_b"))
+    finally:
+        runs.drop()

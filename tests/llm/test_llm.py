@@ -143,30 +143,65 @@ def test_keys_miss_no_pair(least):
     rng = random.Random(least)
     vocab = [f"v{i}" for i in range(60)]
     freq = {w: 100 - i for i, w in enumerate(vocab) if least == 0 or i % 2}
-    for _ in range(3000):
-        n = rng.choice([1, 2, 3, 5, 9, 20, 30, 50])
+    sizes = [(k, *neighbourhood.sizes_of(k)) for k in sorted({neighbourhood.size_class(n) for n in range(1, 61)})]
+    assert [n for _, a, b in sizes for n in range(a, b + 1)] == list(range(1, sizes[-1][2] + 1))
+    for _ in range(4000):
+        n = rng.choice([1, 2, 3, 4, 5, 9, 20, 30, 50])
         x = set(rng.sample(vocab, n))
         y = set(x)
         for _ in range(rng.randrange(1 + n // 2)):
             y.discard(rng.choice(vocab))
             y.add(rng.choice(vocab))
+        for w in rng.sample(vocab, rng.choice([0, 1, 2])):
+            y ^= {w}
         if x != y and x and y and len(x & y) >= 0.6 * len(x | y):
-            kx, ky = {(k[0], k[4]) for k in neighbourhood.keys_of(sorted(x), freq)}, {(k[0], k[4]) for k in neighbourhood.keys_of(sorted(y), freq)}
-            assert kx & ky, (x, y)
+            kx, ky = ({(k[0], k[4]): k for k in neighbourhood.keys_of(sorted(z), freq, sizes)} for z in (x, y))
+            o = -(-3 * (len(x) + len(y)) // 8)
 
+            def holds(a, b):
+                (_, n, c, p, kind), (_, m, d, q, _) = a, b
+                if kind in (0, 2):
+                    return p <= n - o + 1 and q <= m - o + 1 and (kind == 0 or max(n, m) > neighbourhood.LARGE)
+                return o < 3 if kind == 3 else o <= min(c, d) and p <= c - o + 3 and q <= d - o + 3
 
-def test_sorted_runs(spark, tmp_path):
+            assert any(holds(kx[k], ky[k]) for k in kx.keys() & ky.keys()), (x, y)
+
+
+def test_sorted_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neighbourhood, "FAN", 2)
     say = lambda n, t: spark.createDataFrame([(f"{n}{i}", x) for i, x in enumerate(t)], "id string, content string")
-    runs = neighbourhood.SortedRuns(spark, str(tmp_path / "runs"), max_runs=2)
+    runs = neighbourhood.SortedRuns(spark, str(tmp_path / "runs"))
     a = "ada moved the survey project into the new lisbon office in march"
     assert runs.ingest(say("a", [a, "something else entirely was said here", None, ""])).isEmpty()
     got = {(r.id, r.match_id) for r in runs.ingest(say("b", [a.upper() + "!", a + " again", "unrelated words of no interest"])).collect()}
     assert got == {("b0", "a0"), ("b1", "a0")}
-    assert runs.ingest(say("x", [None])).isEmpty()
+    before = runs.manifest()
+    assert runs.ingest(say("x", [None])).isEmpty() and runs.manifest() == before
     got = {(r.id, r.match_id) for r in runs.ingest(say("c", ["ada moved the survey project into the new lisbon office in may"])).collect()}
     assert got == {("c0", "a0"), ("c0", "b0"), ("c0", "b1")}
-    assert runs._manifest()["runs"] and len(runs._manifest()["runs"]) <= 2
+    assert len(runs.manifest()[1]["runs"]) <= 2
     assert {r.match_id for r in runs.ingest(say("d", [a])).collect()} == {"a0", "b0", "b1", "c0"}
+    # a text of a size that no earlier one has
+    assert {r.match_id for r in runs.ingest(say("e", [a + " with all her old books"])).collect()} == {"a0", "b0", "b1", "d0"}
+
+
+def test_batches_read_their_ranges(spark, tmp_path, monkeypatch):
+    """A batch reads the key ranges it touches, however long the history is."""
+    monkeypatch.setattr(neighbourhood, "RANGE_ROWS", 100)
+    rng = random.Random(5)
+    words_ = [f"q{i}" for i in range(50_000)]
+
+    def read(n):
+        runs = neighbourhood.SortedRuns(spark, str(tmp_path / f"h{n}"))
+        texts = [" ".join(rng.sample(words_, 12)) for _ in range(n)]
+        runs.ingest(spark.createDataFrame([(f"h{i}", x) for i, x in enumerate(texts)], "id string, content string"), wanted=None)
+        got = runs.ingest(spark.createDataFrame([("new", texts[7] + " more")], "id string, content string")).collect()
+        assert [(r.id, r.match_id) for r in got] == [("new", "h7")]
+        size = lambda paths: sum(f.stat().st_size for p in paths for f in __import__("pathlib").Path(p).rglob("*.parquet"))
+        return sum(size(x) for x in runs.last_read.values())
+
+    small, large = read(500), read(4000)
+    assert large < 2 * small
 
 
 # --- vectors ---
