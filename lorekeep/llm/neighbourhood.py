@@ -13,7 +13,7 @@ least ``t`` two sets of sizes n and m share at least ``o = ceil(t/(1+t) (n+m))``
 
 * rare: each rare word among the first ``n - ceil(t n) + 1`` words;
 * common: for pairs that share no rare word, the three first shared words are frequent and lie among the
-  first ``c - o + 3`` frequent words, c their number: all triples of these, made for each class of partner sizes that
+  first ``c - o + 3`` frequent words, c their number: all triples of these, o by the smallest partner size that
   there is (for o < 3 single words);
 * large (sets of more than 48 words, and every set that can be similar to one): each of the
   first ``n - ceil(t n) + 1`` words.
@@ -21,7 +21,7 @@ least ``t`` two sets of sizes n and m share at least ``o = ceil(t/(1+t) (n+m))``
 A pair that shares a rare word is found by a rare key, as its rarest shared word lies in both prefixes.
 
 Scale: exact copies (equal word sets) are one class before any comparison, so a group of copies is compared
-once; hot keys are equi-joins that AQE splits; only the frequent words, the size classes and the numbers of
+once; hot keys are equi-joins that AQE splits; only the frequent words, the sizes up to 48 and the numbers of
 touched ranges reach the driver.
 """
 
@@ -45,8 +45,10 @@ LARGE = 48
 LIMIT, MOST = 128, 2_000_000
 #: Rows of a key range; runs of one size that are compacted; growth from which the word order is made anew.
 RANGE_ROWS, FAN, STALE = 1_000_000, 4, 8
+#: Keys of a class, about.
+KEYS = 32
 #: Batches of days that the raw memories are taken in.
-BATCHES = 3
+BATCHES = 2
 
 # A key row is (h, key, meta), h a 64-bit hash of the class; meta packs kind, position, frequent words and words into 2 + 3 x 20
 # bits, as these rows make up most of the shuffle.
@@ -65,22 +67,6 @@ def word_classes(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     return w.withColumn("cls", F.unhex(F.substring(F.sha2(F.array_join("words", " "), 256), 1, 32))).withColumn("h", F.xxhash64("cls"))
 
 
-def size_class(n: int) -> int:
-    """Sizes of one class differ by about a tenth."""
-    return int(math.log(n) / math.log(1.1) + 1e-9)
-
-
-def sizes_of(k: int) -> tuple[int, int]:
-    """Smallest and largest size of a class."""
-    lo = max(1, int(1.1**k) - 1)
-    while size_class(lo) < k:
-        lo += 1
-    hi = lo
-    while size_class(hi + 1) == k:
-        hi += 1
-    return lo, hi
-
-
 def frequent_words(classes: DataFrame) -> dict[str, int]:
     """Words in more than ``LIMIT`` of the classes with their counts, at most about ``MOST``."""
     total = classes.agg(F.sum(F.size("words"))).first()[0] or 0
@@ -89,10 +75,10 @@ def frequent_words(classes: DataFrame) -> dict[str, int]:
     return dict(zip(got["w"], got["k"].astype(int), strict=True))
 
 
-def size_classes(classes: DataFrame) -> list[int]:
-    """The size classes of the word sets that the common keys are made for."""
-    sizes = classes.select(F.size("words").alias("n")).where(F.col("n") <= LARGE).distinct().collect()
-    return sorted({size_class(r.n) for r in sizes})
+def sizes_of(rows: DataFrame) -> list[int]:
+    """The sizes of the word sets that common keys are made for."""
+    sizes = rows.select(F.size("words").alias("n")).where(F.col("n") <= LARGE).distinct().collect()
+    return sorted(r.n for r in sizes)
 
 
 def _hash(text: str) -> int:
@@ -101,10 +87,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def keys_of(words: list[str], frequent: dict[str, int], sizes: list[tuple[int, int, int]], t: float = SIMILARITY) -> Iterator[tuple[int, int, int, int, int]]:
+def keys_of(words: list[str], frequent: dict[str, int], sizes: list[int], t: float = SIMILARITY) -> Iterator[tuple[int, int, int, int, int]]:
     """(key, n, c, pos, kind) of a set; kind 0 rare, 1 common triple, 2 large, 3 common single.
 
-    ``sizes``: (class, smallest, largest) of the partner sizes there are.  pos is how many words of the ordering the key reaches
+    ``sizes``: the partner sizes there are, ascending.  pos is how many words of the ordering the key reaches
     into: a later check drops windows that the sizes of the two sets rule out.
     """
     n = len(words)
@@ -118,24 +104,23 @@ def keys_of(words: list[str], frequent: dict[str, int], sizes: list[tuple[int, i
         return
     for i, w in enumerate(rare[:prefix]):
         yield _hash("R" + w), n, c, i + 1, 0
-    own = size_class(n)
-    shared = lambda m: math.ceil(t / (1 + t) * (n + m) - 1e-9)
-    for k, lo, hi in sizes:
-        lo, hi = max(lo, math.ceil(t * n - 1e-9), 1), min(hi, math.floor(n / t + 1e-9), LARGE)
-        if lo > hi or shared(lo) > c:
-            continue
-        tag = f"{min(own, k)} {max(own, k)}"
-        if shared(lo) < 3:  # so few shared words that there may be no triple
-            for i, w in enumerate(common[: c - shared(lo) + 1]):
-                yield _hash(f"S{tag} {w}"), n, c, i + 1, 3
-        if shared(hi) >= 3:
-            for (_, a), (_, b), (i, d) in combinations(list(enumerate(common[: c - max(shared(lo), 3) + 3])), 3):
-                yield _hash(f"C{tag} {a} {b} {d}"), n, c, i + 1, 1
+    partners = [m for m in sizes if math.ceil(t * n - 1e-9) <= m <= n / t + 1e-9]
+    if not partners:
+        return
+    least, most = (math.ceil(t / (1 + t) * (n + m) - 1e-9) for m in (partners[0], partners[-1]))
+    if least > c:
+        return
+    if least < 3:  # so few shared words that there may be no triple
+        for i, w in enumerate(common[: c - least + 1]):
+            yield _hash("S" + w), n, c, i + 1, 3
+    if most >= 3:
+        for (_, a), (_, b), (i, d) in combinations(list(enumerate(common[: c - max(least, 3) + 3])), 3):
+            yield _hash(f"C{a} {b} {d}"), n, c, i + 1, 1
 
 
 def keyed(classes: DataFrame, frequent: dict[str, int], sizes: list[int], t: float = SIMILARITY) -> DataFrame:
     """(h, key, meta): the sort keys of each class (columns h, words)."""
-    shared = classes.sparkSession.sparkContext.broadcast((frequent, [(k, *sizes_of(k)) for k in sizes]))
+    shared = classes.sparkSession.sparkContext.broadcast((frequent, sizes))
 
     def pack(n: int, c: int, pos: int, kind: int) -> int:
         if n > _MASK:  # no place for such a size: positions rule nothing out
@@ -205,32 +190,25 @@ class SortedRuns:
     Layout: ``classes/run=K/range=R`` (h, cls, words) and ``members/run=K/range=R`` (h, cls, id, carried columns) by the first
     bits of h, ``keys/run=K/range=R`` (h, key, meta) by those of key and sorted, ``order/v=K``, the frequent words,
     and a versioned manifest, so readers see a batch accepted or not, never half.  The word order only decides
-    speed: any fixed order finds every pair.  It is made from the first batch, or by ``order``, and anew when the
-    history has grown ``STALE`` times or a text of an unknown size class comes.
+    speed: any fixed order finds every pair.  It is made from the first batch and anew when the history has grown
+    ``STALE`` times or a text has a size that none had before (at most ``LARGE`` times; ``sizes`` names
+    sizes to expect).
 
     ``carry``: columns kept with every record, for the condition of ``ingest``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, t: float = SIMILARITY, carry: tuple[str, ...] = ()):
-        self.spark, self.path, self.t, self.carry = spark, path.rstrip("/"), t, carry
+    def __init__(self, spark: SparkSession, path: str, t: float = SIMILARITY, carry: tuple[str, ...] = (), sizes: tuple[int, ...] = ()):
+        self.spark, self.path, self.t, self.carry, self.sizes = spark, path.rstrip("/"), t, carry, sizes
         self._versions = Versions(spark, self.path, "manifest")
 
     def manifest(self) -> tuple[int, dict]:
         n, m = self._versions.read()
-        return n, m or {"runs": [], "next": 0, "order": None, "sizes": [], "ordered_at": 0}
-
-    # --- word order
-
-    def order(self, classes: DataFrame) -> None:
-        """Fix the word order by the classes (column words) of a whole collection, before the first batch."""
-        n, m = self.manifest()
-        self._order(m, frequent_words(classes), size_classes(classes), 0)
-        self._versions.write(n, m)
+        return n, m or {"runs": [], "next": 0, "order": None, "sizes": sorted(self.sizes), "ordered_at": 0}
 
     def _order(self, m: dict, frequent: dict[str, int], sizes: list[int], classes: int) -> None:
         at = f"order/v={m['next']}"
-        m["next"] += 1
-        self.spark.createDataFrame(pd.DataFrame({"w": list(frequent), "k": list(frequent.values())}, dtype=object), "w string, k long").write.mode("overwrite").parquet(f"{self.path}/{at}")
+        words = pd.DataFrame({"w": list(frequent), "k": list(frequent.values())}, dtype=object)
+        self.spark.createDataFrame(words, "w string, k long").write.mode("overwrite").parquet(f"{self.path}/{at}")
         m |= {"order": at, "sizes": sizes, "ordered_at": classes}
 
     def _frequent(self, m: dict) -> dict[str, int]:
@@ -258,66 +236,75 @@ class SortedRuns:
             self.last_read.setdefault(kind, []).extend(paths)
         return self.spark.read.parquet(*paths) if paths else None
 
-    def _store(self, kind: str, k: int, rows: DataFrame, by: str, n: int) -> tuple[int, list[int]]:
+    def _store(self, run: dict, kind: str, rows: DataFrame, by: str, n: int) -> DataFrame:
+        """Write the rows of a run, about ``n``, by range and sorted within; returns what is written."""
         bits = max(0, math.ceil(math.log2(max(1, n / RANGE_ROWS))))
-        files = max(1, min(partitions(self.spark), -(-n // 20_000)))
-        out = rows.withColumn("range", range_of(by, bits)).repartitionByRange(max(files, 2**bits), by).sortWithinPartitions("range", by)
-        out.write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/{kind}/run={k}")
-        at = self._versions.at(f"{kind}/run={k}")
-        there = [s.getPath().getName() for s in self._versions.fs.listStatus(at)]
-        return bits, sorted(int(x.removeprefix("range=")) for x in there if x.startswith("range="))
-
-    def _write(self, m: dict, classes: DataFrame, members: DataFrame, keys: DataFrame, tier: int) -> None:
-        k, run = m["next"], {"id": m["next"], "tier": tier, "bits": {}, "ranges": {}}
-        for kind, rows, by in (("classes", classes.select("h", "cls", "words"), "h"), ("members", members.select("h", "cls", "id", *self.carry), "h"), ("keys", keys, "key")):
-            n = rows.count()
-            run["bits"][kind], run["ranges"][kind] = self._store(kind, k, rows, by, n) if n else (0, [])
-            run[kind] = n
-        m["runs"].append(run)
-        m["next"] = k + 1
-
-    def ingest(self, batch: DataFrame, ident: str = "id", text: str = "content", wanted: str | None = "true", within: bool = False) -> DataFrame | None:
+        out = rows.withColumn("range", range_of(by, bits))
+        out = out.repartition(2**bits, "range") if bits else out
+        path = f"{self.path}/{kind}/run={run['id']}"
+        out.sortWithinPartitions("range", by).write.mode("overwrite").partitionBy("range").parquet(path)
+        names = [s.getPath().getName() for s in self._versions.fs.listStatus(self._versions.at(f"{kind}/run={run['id']}"))]
+        there = sorted(int(x.removeprefix("range=")) for x in names if x.startswith("range="))
+        run["bits"][kind], run["ranges"][kind] = bits, there
+        return self.spark.read.parquet(*[f"{path}/range={x}" for x in there]) if there else rows.where("false")
+
+    def _new_run(self, m: dict, tier: int) -> dict:
+        m["next"] += 1
+        return {"id": m["next"] - 1, "tier": tier, "bits": {}, "ranges": {}}
+
+    def ingest(
+        self, batch: DataFrame, ident: str = "id", text: str = "content", wanted: str | None = "true", within: bool = False, distinct: bool = True
+    ) -> DataFrame | None:
         """(id, match_id, similarity): each record of the batch with its (near-)copies among all accepted records.
 
         The batch is then accepted as a run of its own.  ``wanted``: a condition on the carried columns of the new record and, with
         ``old_`` before their names, of its counterpart; None accepts the batch without comparing it.  ``within``: compare the
-        batch's records with each other as well, each pair once.  Ids repeated count once; a batch without usable text
-        changes nothing.
+        batch's records with each other as well, each pair once.  Ids repeated count once (``distinct``: they are looked
+        for); a batch without usable text changes nothing.
         """
         number, m = self.manifest()
         self.last_read: dict[str, list[str]] = {}
-        rows = cut(word_classes(batch.dropDuplicates([ident]), text, ident, *self.carry).withColumnRenamed(ident, "id"))
-        classes = rows.groupBy("cls").agg(F.any_value("h").alias("h"), F.any_value("words").alias("words"))
-        m = self._fit(m, classes)
-        frequent = self._frequent(m)
-        keys = cut(keyed(classes, frequent, m["sizes"], self.t))
-        found = self._compare(m, rows, classes, keys, wanted, within) if wanted is not None else None
-        stored = self._read("classes", m, classes, "h")
-        fresh = classes.select("h", "cls", "words")
+        full = word_classes(batch.dropDuplicates([ident]) if distinct else batch, text, ident, *self.carry).withColumnRenamed(ident, "id")
+        rows, classes = full.drop("words"), full.groupBy("cls").agg(F.any_value("h").alias("h"), F.any_value("words").alias("words")).select("h", "cls", "words")
+        if wanted is not None:
+            rows, classes = cut(rows), cut(classes)
+        n, run = batch.count(), self._new_run(m, 0)
+        stored, fresh, known = self._read("classes", m, rows, "h"), classes, None
         if stored is not None:  # a class that is known needs no keys again
-            known = cut(fresh.select("h", "cls").join(stored.select("h", "cls"), ["h", "cls"], "left_semi"))
+            known = cut(rows.select("h", "cls").distinct().join(stored.select("h", "cls"), ["h", "cls"], "left_semi"))
             fresh = fresh.join(maybe_broadcast(known), ["h", "cls"], "left_anti")
+        fresh = self._store(run, "classes", fresh, "h", n)
+        self._fit(m, full, fresh)
+        found, keys = None, None
+        if wanted is not None:
+            keys = cut(keyed(classes, self._frequent(m), m["sizes"], self.t))
+            found = self._compare(m, rows, classes, fresh, keys, wanted, within)
+        if rows.isEmpty():
+            return found
+        if keys is None:
+            keys = keyed(fresh, self._frequent(m), m["sizes"], self.t)
+        elif known is not None:
             keys = keys.join(maybe_broadcast(known.select("h")), "h", "left_anti")
-        if not rows.isEmpty():
-            self._write(m, fresh, rows, keys, 0)
-            self._compact(m)
-            self._versions.write(number, m)
+        self._store(run, "keys", keys.select("h", "key", "meta"), "key", n * KEYS)
+        self._store(run, "members", rows.select("h", "cls", "id", *self.carry), "h", n)
+        m["runs"].append(run | {"classes": fresh.count()})
+        self._compact(m)
+        self._versions.write(number, m)
         return found
 
-    def _fit(self, m: dict, classes: DataFrame) -> dict:
+    def _fit(self, m: dict, full: DataFrame, fresh: DataFrame) -> None:
         """Make or renew the word order where the batch needs it."""
         known = sum(r["classes"] for r in m["runs"])
-        sizes = size_classes(classes)
-        if m["order"] is not None and set(sizes) <= set(m["sizes"]) and known < STALE * max(m["ordered_at"], 1000):
-            return m
+        new = set(sizes_of(full)) - set(m["sizes"])
+        if m["order"] is not None and not new and known < STALE * max(m["ordered_at"], 1000):
+            return
         old = self._read("classes", m)
-        every = classes.select("cls", "h", "words") if old is None else old.select("cls", "h", "words").unionByName(classes.select("cls", "h", "words"))
-        self._order(m, frequent_words(every), sorted({*sizes, *m["sizes"]}), known)
+        every = fresh if old is None else old.select("h", "cls", "words").unionByName(fresh.select("h", "cls", "words"))
+        self._order(m, frequent_words(every), sorted({*m["sizes"], *new}), known)
         if m["runs"]:
             self._merge(m, m["runs"], max(r["tier"] for r in m["runs"]), rekey=True)
-        return m
 
-    def _compare(self, m: dict, rows: DataFrame, classes: DataFrame, keys: DataFrame, wanted: str, within: bool) -> DataFrame:
+    def _compare(self, m: dict, rows: DataFrame, classes: DataFrame, fresh: DataFrame, keys: DataFrame, wanted: str, within: bool) -> DataFrame:
         carried = [F.col(c).alias(f"old_{c}") for c in self.carry]
         old_keys = self._read("keys", m, keys, "key")
         none = keys.select(F.col("h").alias("a"), F.col("h").alias("b")).where("false")
@@ -325,14 +312,14 @@ class SortedRuns:
         if within:
             pairs = pairs.unionByName(windows(keys, keys, self.t).where("a < b")).distinct()
         pairs = cut(pairs)
-        words, members = classes.select("h", "cls", "words"), rows.select("h", "cls", F.col("id").alias("match_id"), *carried, F.lit(True).alias("own"))
+        words, members = maybe_broadcast(classes), rows.select("h", "cls", F.col("id").alias("match_id"), *carried, F.lit(True).alias("own"))
         theirs = pairs.select(F.col("b").alias("h")).distinct()
         old_words = self._read("classes", m, theirs, "h")
-        right = words if within else words.where("false")
+        right = fresh.select("h", "cls", "words")  # those of the batch that are not stored
         if old_words is not None:
-            right = right.unionByName(old_words.select("h", "cls", "words").join(maybe_broadcast(theirs), "h", "left_semi")).dropDuplicates(["cls"])
+            right = right.unionByName(old_words.select("h", "cls", "words"))
         near = cut(verify(pairs, words, right, self.t))
-        linked = near.unionByName(words.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
+        linked = near.unionByName(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
         linked = linked.withColumn("h", F.xxhash64("b"))
         old_members = self._read("members", m, linked, "h")
         sides = members if within else members.where("false")
@@ -347,13 +334,14 @@ class SortedRuns:
     # --- compaction
 
     def _merge(self, m: dict, runs: list[dict], tier: int, rekey: bool = False) -> None:
-        part = {**m, "runs": runs}
-        classes = self._read("classes", part).select("h", "cls", "words").dropDuplicates(["cls"])
+        part, run, n = {**m, "runs": runs}, self._new_run(m, tier), sum(r["classes"] for r in runs)
+        classes = self._store(run, "classes", self._read("classes", part).select("h", "cls", "words").dropDuplicates(["cls"]), "h", n)
         members = self._read("members", part).select("h", "cls", "id", *self.carry).dropDuplicates(["id", "cls"])
-        keys = keyed(cut(classes), self._frequent(m), m["sizes"], self.t) if rekey else self._read("keys", part).select("h", "key", "meta").distinct()
+        keys = keyed(classes, self._frequent(m), m["sizes"], self.t) if rekey else self._read("keys", part).select("h", "key", "meta").distinct()
+        self._store(run, "keys", keys, "key", n * KEYS)
+        self._store(run, "members", members, "h", n)
         gone = {r["id"] for r in runs}
-        m["runs"] = [r for r in m["runs"] if r["id"] not in gone]
-        self._write(m, classes, members, keys, tier)
+        m["runs"] = [r for r in m["runs"] if r["id"] not in gone] + [run | {"classes": n}]
         m.setdefault("gone", []).extend(gone)
 
     def _compact(self, m: dict) -> None:
@@ -382,20 +370,23 @@ def memory_repeats(memories: DataFrame, t: float = SIMILARITY, batches: int = BA
     memories only.  Null and wordless contents equal nothing.
     """
     spark = memories.sparkSession
+    folder = f"{shared_dir(spark)}/runs-{uuid4().hex}"
     m = memories.select(F.col("id").cast("string").alias("id"), "content", clean(F.col("status")).alias("st"), F.to_date("timestamp").cast("string").alias("day"))
-    m = m.where("st in ('raw', 'reviewed') and id is not null").dropDuplicates(["id"])
+    m = m.where("st in ('raw', 'reviewed') and id is not null")
     days = m.where("st = 'raw' and day is not null").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     share = F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)) / F.sum("n").over(Window.partitionBy())
     turn = days.select("day", F.least(F.lit(batches - 1), F.floor(F.coalesce(share, F.lit(0.0)) * batches)).cast("int").alias("turn"))
-    m = cut(m.join(maybe_broadcast(turn), "day", "left"))
-    runs = SortedRuns(spark, f"{shared_dir(spark)}/runs-{uuid4().hex}", t, ("st", "day"))
+    m = m.dropDuplicates(["id"]).join(maybe_broadcast(turn), "day", "left")
+    m = m.withColumn("turn", F.when(F.col("st") == "raw", F.coalesce("turn", F.lit(batches - 1))).otherwise(-1))
+    kept = "id string, content string, st string, day string, turn int"
+    m.select("id", "content", "st", "day", "turn").write.partitionBy("turn").parquet(f"{folder}/in")
+    m = spark.read.schema(kept).parquet(f"{folder}/in")
+    runs = SortedRuns(spark, folder, t, ("st", "day"), tuple(sizes_of(word_classes(m, "content"))))
     try:
-        runs.order(word_classes(m, "content").dropDuplicates(["cls"]))
-        runs.ingest(m.where("st = 'reviewed'"), wanted=None)
+        runs.ingest(m.where("turn = -1"), wanted=None, distinct=False)
         found = []
         for k in range(batches):
-            raw = m.where("st = 'raw'").where(F.coalesce("turn", F.lit(batches - 1)) == k)
-            found.append(runs.ingest(raw, wanted="old_st = 'reviewed' or day <> old_day", within=True))
+            found.append(runs.ingest(m.where(F.col("turn") == k), wanted="old_st = 'reviewed' or day <> old_day", within=True, distinct=False))
         every = found[0]
         for x in found[1:]:
             every = every.unionByName(x)
