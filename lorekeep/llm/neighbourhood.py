@@ -300,7 +300,7 @@ class SortedRuns:
             return
         old = self._read("classes", m)
         every = fresh if old is None else old.select("h", "cls", "words").unionByName(fresh.select("h", "cls", "words"))
-        self._order(m, frequent_words(every), sorted({*m["sizes"], *new}), known)
+        self._order(m, frequent_words(every), sorted({*m["sizes"], *new}), every.count())
         if m["runs"]:
             self._merge(m, m["runs"], max(r["tier"] for r in m["runs"]), rekey=True)
 
