@@ -99,7 +99,7 @@ def assign_categories(batch: DataFrame, centres: DataFrame, least: float = schem
 
 
 def find_clusters(ids: list, sim, least: float = schema.CATEGORY_COSINE, quorum: int = schema.CATEGORY_QUORUM) -> list[list]:
-    """Greedy complete-linkage clusters: seeds by mean similarity, members near to all others."""
+    """Greedy complete-linkage clusters: seeds, and candidates for each seed, by mean similarity to all; members are near to all others."""
     import numpy as np
 
     order = np.lexsort((np.arange(len(ids)), -np.round(sim.mean(1), 9)))
@@ -108,7 +108,7 @@ def find_clusters(ids: list, sim, least: float = schema.CATEGORY_COSINE, quorum:
         if not free[s]:
             continue
         own = [int(s)]
-        for j in np.lexsort((np.arange(len(ids)), -np.round(sim[s], 9))):
+        for j in order:
             if j != s and free[j] and (sim[j, own] >= least).all():
                 own.append(int(j))
         if len(own) >= quorum:
@@ -122,6 +122,7 @@ def vector_clusters(ids: list, x, least: float = schema.CATEGORY_COSINE, quorum:
     import numpy as np
 
     order = np.lexsort((np.arange(len(ids)), -np.round(x @ x.mean(0), 9))) if len(ids) else []
+    turn = np.argsort(order)
     free, out = np.ones(len(ids), bool), []
     for s in order:
         if not free[s]:
@@ -129,7 +130,7 @@ def vector_clusters(ids: list, x, least: float = schema.CATEGORY_COSINE, quorum:
         sim = x @ x[s]
         rest = np.flatnonzero(free & (sim >= least))
         rest = rest[rest != s]
-        rest = rest[np.lexsort((rest, -np.round(sim[rest], 9)))]
+        rest = rest[np.argsort(turn[rest])]
         own = [int(s)]
         while len(rest):
             own.append(int(rest[0]))

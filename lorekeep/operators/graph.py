@@ -183,12 +183,29 @@ def graph_stats(g: Graph) -> DataFrame:
     return m
 
 
-def candidate_pair_count(mentions: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of memories that share an entity, one row."""
-    m = mentions.select("memory_id", "entity_id").distinct()
-    a, b = m.alias("a"), m.alias("b")
-    p = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.memory_id") < F.col("b.memory_id")))
-    return p.select(F.col("a.memory_id").alias("x"), F.col("b.memory_id").alias("y")).distinct().agg(F.count(F.lit(1)).alias("pairs"))
+#: Entities of a memory up to which its sets of entities are counted.
+SUBSETS = 10
+
+
+def candidate_pair_count(mentions: DataFrame, most: int = SUBSETS) -> DataFrame:
+    """Distinct unordered pairs of memories that share an entity, one row; null ends count for nothing.
+
+    No pair is made, however many memories an entity has: pairs that share at least one entity are the sum over all sets T of
+    entities of (-1)^(|T|+1) n(n-1)/2, n the memories that mention all of T.  Only memories of more than ``most``
+    entities are paired one by one.
+    """
+    own = mentions.where("memory_id is not null and entity_id is not null").groupBy("memory_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
+    # one row per set of entities that some memory has
+    few = own.where(F.size("e") <= most).groupBy("e").agg(F.count(F.lit(1)).alias("k"))
+    masks = few.select("k", "e", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size("e")) - 1).cast("int"))).alias("mask"))
+    chosen = F.filter("e", lambda _, i: F.getbit(F.col("mask"), i) == 1)
+    sets = masks.groupBy(chosen.alias("t")).agg(F.sum("k").alias("n"))
+    sign = F.when(F.size("t") % 2 == 1, 1).otherwise(-1)
+    narrow = sets.agg(F.coalesce(F.sum(sign * (F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("pairs"))
+    wide = own.where(F.size("e") > most).select(F.col("memory_id").alias("x"), F.explode("e").alias("entity"))
+    every = own.select(F.col("memory_id").alias("y"), F.explode("e").alias("entity"))
+    met = wide.join(every, "entity").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return narrow.unionByName(met.agg(F.count(F.lit(1)).alias("pairs"))).agg(F.sum("pairs").cast("long").alias("pairs"))
 
 
 def fingerprint(tables: dict[str, DataFrame], leave_out: tuple[str, ...] = ("embedding", "embeddingtext")) -> DataFrame:

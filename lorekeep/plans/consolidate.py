@@ -105,7 +105,7 @@ def dedup_exact_text(spark: SparkSession, d: str) -> DataFrame:
 def _sql_case(col: str, names: tuple, syn: dict[str, str], exact: bool) -> str:
     pairs = [(n if exact else n.lower(), n) for n in names]
     out = " ".join(f"WHEN trim({col}) = '{a}' THEN '{b}'" if exact else f"WHEN lower(trim({col})) = '{a}' THEN '{b}'" for a, b in pairs)
-    return f"CASE {out} {' '.join(f'''WHEN lower(trim({col})) = '{s}' THEN '{c}' ''' for s, c in schema.synonyms(syn).items())} END"
+    return f"CASE {out} {' '.join(f'''WHEN lower(trim({col})) = '{s}' THEN '{c}' ''' for s, c in syn.items())} END"
 
 
 @query(f"SELECT id, {_sql_case('kind', schema.KINDS, schema.KIND_SYNONYMS, False)} AS normalizedkind FROM mem")

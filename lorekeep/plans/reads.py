@@ -148,14 +148,14 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
+, pairing AS (SELECT DISTINCT memory_id, entity_id FROM men WHERE memory_id IN (SELECT id FROM mem WHERE status IN ('raw', 'reviewed')))
 SELECT count(*) AS pairs FROM (
-  SELECT DISTINCT a.memory_id AS x, b.memory_id AS y FROM men a JOIN men b ON a.entity_id = b.entity_id AND a.memory_id < b.memory_id
-  WHERE a.entity_id IN (SELECT entity_id FROM men GROUP BY 1 HAVING count(*) <= 30))""")
+  SELECT DISTINCT a.memory_id AS x, b.memory_id AS y FROM pairing a JOIN pairing b ON a.entity_id = b.entity_id AND a.memory_id < b.memory_id)""")
 def relation_pair_count(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct pairs of memories that share an entity of at most 30 mentions."""
-    m = load_graph(spark, d).mentions
-    small = m.groupBy("entity_id").count().where(F.col("count") <= schema.HUB).select("entity_id")
-    return gr.candidate_pair_count(m.join(small, "entity_id"))
+    """Distinct pairs of raw or reviewed memories that share an entity."""
+    g = load_graph(spark, d)
+    live = g.memory.where("status in ('raw', 'reviewed')").select(F.col("id").alias("memory_id"))
+    return gr.candidate_pair_count(g.mentions.join(live, "memory_id", "left_semi"))
 
 
 @query("""

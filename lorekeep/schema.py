@@ -60,15 +60,22 @@ UNIQUE = {"memory": ["id", "writekey"], "entity": ["id", "name"], "session": ["i
 # Kinds, types, synonyms, roles, statuses, step order and thresholds.
 KINDS = ("fact", "decision", "preference", "goal", "emotion", "observation", "event")
 KIND_SYNONYMS = {
-    "emotion": "feelings feeling mood", "decision": "choice", "goal": "plan plans target objective",
-    "preference": "opinion like dislike", "fact": "belief info information", "observation": "notice note",
-    "event": "happening incident occurrence",
+    "feelings": "emotion", "feeling": "emotion", "mood": "emotion",
+    "choice": "decision",
+    "plan": "goal", "plans": "goal", "target": "goal", "objective": "goal",
+    "opinion": "preference", "like": "preference", "dislike": "preference",
+    "belief": "fact", "info": "fact", "information": "fact",
+    "notice": "observation", "note": "observation",
+    "happening": "event", "incident": "event", "occurrence": "event",
 }
 ENTITY_TYPES = ("Person", "Place", "Project", "Organization", "Tool", "Concept")
 ENTITY_TYPE_SYNONYMS = {
-    "Person": "person people user", "Place": "place location city country", "Project": "project repo repository",
-    "Organization": "org organization company", "Tool": "tool library framework language software",
-    "Concept": "concept topic idea skill",
+    "person": "Person", "people": "Person", "user": "Person",
+    "place": "Place", "location": "Place", "city": "Place", "country": "Place",
+    "project": "Project", "repo": "Project", "repository": "Project",
+    "org": "Organization", "organization": "Organization", "company": "Organization",
+    "tool": "Tool", "library": "Tool", "framework": "Tool", "language": "Tool", "software": "Tool",
+    "concept": "Concept", "topic": "Concept", "idea": "Concept", "skill": "Concept",
 }
 ROLES = ("subject", "object", "context", "source")
 STATUSES = ("raw", "reviewed", "archived", "suppressed")
@@ -93,11 +100,6 @@ EMBEDDING_DIMS = {
 }
 
 
-def synonyms(table: dict[str, str]) -> dict[str, str]:
-    """{spelling: canonical} of a synonym table."""
-    return {s: c for c, all_ in table.items() for s in all_.split()}
-
-
 def duplicate_keys(df: DataFrame, *columns: str) -> DataFrame:
     """(columns, n): non-null key values that occur more than once."""
     return df.where(" and ".join(f"{c} is not null" for c in columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
