@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.lexicon import FIRM, LOOSE, NOT
+from lorekeep.llm.lexicon import FIRM, LOOSE
 from lorekeep.runtime import clean, cut
 
 SUBJECTS = tuple(FIRM)
@@ -29,7 +29,7 @@ LOOSE_WEIGHT = 0.5
 
 #: Sentences end at . ! or ? before white space, at a blank line, and before a line that opens a list item, a turn or a log
 #: entry.  Other line breaks are wraps.  Lead-ins, quotation marks of mail and table bars are no part of a sentence.
-_LEAD = re.compile(r"^\s*(?:[-*>#|]+\s+|\d+[.)]\s+|\[\w+\]:\s*|seq=\d+(?:\s+\w+=\S+)*\s+(?:reason:)?\s*|</?[\w-]+>\s*)*")
+_LEAD = re.compile(r"^\s*(?:[-*>#|]+\s+|\d+[.)]\s+|\[\w+\]:\s*|(?:\w+=\S+\s+)+(?:\w+:\s+)?|</?[\w-]+>\s*)*")
 _WRAP = re.compile(r"[>|\s]*")
 _STOP = re.compile(r"(?<=[.!?])[\"”’)]*\s+")
 _DONE = re.compile(r"[.!?][\"”’)]*\s*$")
@@ -68,9 +68,7 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     for t in {t for t, _, _ in terms()}:
-        a.add_word(t, (1, t))
-    for t in NOT:
-        a.add_word(t, (0, t))
+        a.add_word(t, t)
     a.make_automaton()
     return a
 
@@ -86,26 +84,23 @@ def _ends(low: str, at: int) -> int:
 
 
 def hits(sentence: str, automaton) -> list[str]:
-    """Terms in a sentence, whole words only; not those inside a phrase of another sense or right after a capitalised
-    word within the sentence, which makes them part of a name."""
+    """Terms in a sentence, whole words only; not those right after a capitalised word within the sentence, which makes
+    them part of a name."""
     low = sentence.lower()
     if len(low) != len(sentence):
         sentence = low
-    found, void = [], []
-    for end, (kind, t) in automaton.iter(low):
+    found = []
+    for end, t in automaton.iter(low):
         start = end - len(t) + 1
         if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
             continue
-        if kind == 0:
-            void.append((start, end))
-            continue
         if _ends(low, end + 1) < 0:
             continue
         before = sentence[:start].rstrip().rpartition(" ")
         if before[1] and before[2][:1].isupper() and before[2][1:].islower() and start == len(sentence[:start].rstrip()) + 1:
             continue
-        found.append((start, end, t))
-    return [t for s, e, t in found if not any(a <= s and e <= b for a, b in void)]
+        found.append(t)
+    return found
 
 
 def sentence_hits(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,8 +141,10 @@ def rarity(found: DataFrame) -> dict[str, float]:
 def shares_of(n: int, lens, found, of: dict[str, list[tuple[str, float]]], rare: dict[str, float]) -> dict[str, float]:
     """Share of a document's sentences that are about each subject."""
     sure: dict[str, float] = {}
+    firm: set[str] = set()
     for row in found:
         for t in row:
+            firm |= {s for s, w in of[t] if w == 1.0}
             if len(of[t]) == 1:
                 s, w = of[t][0]
                 sure[s] = sure.get(s, 0) + w
@@ -157,7 +154,7 @@ def shares_of(n: int, lens, found, of: dict[str, list[tuple[str, float]]], rare:
         for t in row:
             # a term of several subjects goes to the one with most evidence in the document
             s, w = max(of[t], key=lambda x: (sure.get(x[0], 0), x[1])) if len(of[t]) > 1 else of[t][0]
-            if len(of[t]) > 1 and not sure.get(s):
+            if s not in firm or (len(of[t]) > 1 and not sure.get(s)):
                 continue
             score[s] = score.get(s, 0) + w * rare.get(t, 1.0)
         for s, v in score.items():
