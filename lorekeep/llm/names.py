@@ -107,7 +107,7 @@ _KNOWN = _GIVEN | DESCRIPTORS
 
 #: Pairs that one key may make before it is refined; keys a name is refined by at most, beyond which all pairs are made;
 #: leading letters from which letters are deleted.
-PAIRS, DEEPEST, REACH = 4_096, 5, 10
+PAIRS, DEEPEST, REACH = 256, 5, 10
 #: Letters a token needs for one and for two typing errors.
 ONE_ERROR, TWO_ERRORS = 4, 9
 #: Letters a word needs to be several words written as one.
