@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep import schema
 from lorekeep.functions import scoring, vectors
 from lorekeep.operators.graph import Graph
-from lorekeep.runtime import cut
+from lorekeep.runtime import cut, maybe_broadcast
 
 LIMIT, LEAST_SCORE, LEAST_PROMPT = 8, 0.1, 3
 LIVE = ("active", "raw", "reviewed")
@@ -67,7 +67,7 @@ def expansions(g: Graph, queries: DataFrame, found: DataFrame, as_of, hub: int =
     live = g.memory.where(F.col("status").isin(*LIVE) & (F.col("expiresat").isNull() | (F.col("expiresat") > now)))
     m = g.mentions.select(F.col("memory_id").alias("id"), "entity_id").distinct()
     shared = e.join(m, "entity_id").join(found.select("q", "id"), ["q", "id"], "left_anti").groupBy("q", "id").agg(F.count(F.lit(1)).alias("shared"))
-    qv = queries.select(F.col("id").alias("q"), F.col("embedding").alias("qv"))
+    qv = maybe_broadcast(queries.select(F.col("id").alias("q"), F.col("embedding").alias("qv")))
     cand = shared.join(live.select("id", "embedding", "confidence", "salience", "validto"), "id").join(qv, "q")
     sim = F.coalesce(vectors.cosine(F.col("qv"), F.col("embedding")), F.lit(0.0))
     base = scoring.base_score(sim, F.nanvl("confidence", F.lit(None)), F.col("salience"))
@@ -93,20 +93,22 @@ def retrieve(g: Graph, queries: DataFrame, as_of, limit: int = 10, categories: D
 def decorate(g: Graph, ranked: DataFrame, most: int = 3) -> DataFrame:
     """(q, id, entities, relations): names of each result's entities and links among the entities of the query's results.
 
-    An entity shows at most ``most`` links, by name and relation.
+    An entity shows at most ``most`` links, by name and relation.  Links are looked up by both ends: a query's entities are
+    paired with the names of its results first, as a hub has far more links than a query has names.
     """
+    ranked = cut(ranked.select("q", "id"))
     act = g.entity.where("active is null or active").select(F.col("id").alias("entity_id"), "name")
     m = g.mentions.select(F.col("memory_id").alias("id"), "entity_id").distinct().join(act, "entity_id")
-    seen = ranked.select("q", "id").join(m, "id")
+    seen = cut(ranked.join(m, "id"))
     names = seen.groupBy("q", "id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
-    links = g.linked_to.join(act.select(F.col("entity_id").alias("dst_id"), F.col("name").alias("other")), "dst_id").select(
-        F.col("src_id").alias("entity_id"), "other", "relation"
-    )
-    in_result = seen.select("q", F.col("name").alias("other")).distinct()
-    l = seen.join(links, "entity_id").join(in_result, ["q", "other"], "left_semi").where("relation is not null")
-    w = Window.partitionBy("q", "id", "entity_id").orderBy("other", "relation")
-    l = l.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    rel = l.groupBy("q", "id").agg(F.array_sort(F.collect_set(F.concat_ws("", "name", F.lit(" is "), "relation", F.lit(" of "), "other"))).alias("relations"))
+    links = g.linked_to.where("relation is not null").join(act.select(F.col("entity_id").alias("dst_id"), F.col("name").alias("other")), "dst_id")
+    links = links.select(F.col("src_id").alias("entity_id"), "other", "relation").distinct()
+    per = seen.groupBy("q").agg(F.collect_set("entity_id").alias("es"), F.collect_set("name").alias("others"))
+    ends = per.select("q", F.explode("es").alias("entity_id"), "others").select("q", "entity_id", F.explode("others").alias("other"))
+    w = Window.partitionBy("q", "entity_id").orderBy("other", "relation")
+    l = ends.join(links, ["entity_id", "other"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    l = seen.join(l, ["q", "entity_id"])
+    rel = l.groupBy("q", "id").agg(F.array_sort(F.collect_set(F.concat("name", F.lit(" is "), "relation", F.lit(" of "), "other"))).alias("relations"))
     empty = F.array().cast("array<string>")
     return ranked.select("q", "id").join(names, ["q", "id"], "left").join(rel, ["q", "id"], "left").select(
         "q", "id", F.coalesce("entities", empty).alias("entities"), F.coalesce("relations", empty).alias("relations")
