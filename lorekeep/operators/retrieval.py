@@ -117,7 +117,7 @@ def decorate(g: Graph, ranked: DataFrame, most: int = 3) -> DataFrame:
 
 def context_text(g: Graph, ranked: DataFrame, as_of, least: float = LEAST_SCORE) -> DataFrame:
     """(q, context): the text block that is put before a prompt; queries without a good result have none."""
-    now = F.lit(as_of).cast("timestamp")
+    now, ranked = F.lit(as_of).cast("timestamp"), cut(ranked)
     m = g.memory.select("id", "content", F.coalesce("normalizedkind", "kind").alias("kind"), "validto")
     r = ranked.where(F.col("score") >= least).join(m, "id").join(decorate(g, ranked), ["q", "id"])
     w = Window.partitionBy("q").orderBy("rank")

@@ -43,3 +43,20 @@ def test_decorate_follows_the_results(spark):
     assert all(got[f"q{i}", "m1"] == (["Ann", "Hub"], hub) and got[f"q{i}", "m2"] == (["Ben", "Hub"], ["Ben is knows of Ann", *hub]) for i in range(60))
     assert got["r", "m1"] == (["Ann", "Hub"], [*hub, "Hub is knows of Cem"]) and got["r", "m3"] == (["Cem", "Dan", "Eve"], []) and got["r", "m4"] == ([], [])
     assert join_rows(out) < 10_000  # 120 results x 1,000 links of the hub before
+
+
+def test_context_text_ranks_once(spark):
+    g = linked_graph(spark, 3)
+    g.memory = spark.createDataFrame([(f"m{i}", f"text {i}", "fact", None, None) for i in (1, 2, 3)], "id string, content string, kind string, normalizedkind string, validto timestamp")
+    ranked, made = spark.createDataFrame([("q", "m1", 0.9, 1), ("q", "m2", 0.5, 2), ("q", "m3", 0.05, 3), ("p", "m3", 0.05, 1)], "q string, id string, score double, rank int"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    out = rt.context_text(g, ranked.mapInPandas(count, ranked.schema), "2026-01-01").collect()
+    lines = "1. [fact] (Ann, Hub) text 1 (90%)\n2. [fact] (Ben, Hub) text 2 (50%)"
+    rels = "\n- ".join(["Ben is knows of Ann", "Hub is knows of Ann", "Hub is knows of Ben", "Hub is knows of Cem"])
+    assert [(r.q, r.context) for r in out] == [("q", f"<graph-memories>\nRelevant memories from your knowledge graph:\n{lines}\n\nEntity relationships:\n- {rels}\n</graph-memories>")]
+    assert made.value == 4  # once, though it is used four times
