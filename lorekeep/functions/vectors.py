@@ -8,15 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorekeep.runtime import cut
 
 #: Values (rows x dimensions) of a query side that may be broadcast: 256 MB of doubles.
 QUERY_VALUES = 32_000_000
-#: Values of the query side that ``similar_to`` holds and broadcasts at a time: 64 MB of doubles.
+#: Values of the query side that a task of ``similar_to`` holds: 64 MB of doubles.
 SIDE_VALUES = 8_000_000
 #: Query rows multiplied at a time.
 BLOCK = 2048
@@ -79,49 +82,79 @@ def _packed(side: DataFrame) -> tuple[list, np.ndarray]:
     return [i for p in parts for i in pickle.loads(bytes(p.ids))], np.concatenate([np.frombuffer(p.m).reshape(-1, p.width) for p in parts])
 
 
-def similar_to(queries: DataFrame, rows: DataFrame, least: float, ident: str = "id", embedding: str = "embedding", below: float = 1.01, values: int = SIDE_VALUES) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    """Unit vectors of an Arrow column of lists of one length."""
+    width = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(width) != 1 or width[0] is None:
+        raise ValueError(f"vectors of {width} values")
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width[0])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def similar_to(queries: DataFrame, rows: DataFrame, least: float, ident: str = "id", embedding: str = "embedding", below: float = 1.01, values: int = SIDE_VALUES, once: str | None = None) -> DataFrame:
     """(q, id, cosine): every (query, row) with ``least`` <= cosine < ``below``, ids different.
 
-    The queries are taken in parts of about ``values`` values, of which one at a time is on the driver and broadcast; it is
-    multiplied with all rows block by block, and the rows are neither shuffled nor gathered.  A product in single precision
-    finds the candidates, with a margin above its error; double precision decides.
+    The queries are taken in parts of about ``values`` values, of which a task holds one; it is multiplied with all rows
+    block by block, and the rows are neither shuffled nor gathered.  A product in single precision finds the candidates, with
+    a margin above its error; double precision decides.  Pairs go on as they are found: none is stored or shuffled here.
+    ``once``: a column of ``rows``, true for rows that are queries too; of two of them only the one with the larger id asks.
     """
     qt, rt = dict(queries.dtypes)[ident], dict(rows.dtypes)[ident]
+    qa = to_arrow_type(queries.schema[ident].dataType)
     n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(0))).first()
     parts = max(1, -(-n * width // values))
     side = queries.select(F.col(ident).alias("id"), F.col(embedding).alias("v"))
-    src = rows.select(F.col(ident).alias("id"), F.col(embedding).alias("v"))
+    src = rows.select(F.col(ident).alias("id"), F.col(embedding).alias("v"), (F.col(once) if once else F.lit(False)).alias("once"))
     if parts > 1:
         side, src = cut(side.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))), cut(src)
 
-    def matches(side: DataFrame):
-        shared = rows.sparkSession.sparkContext.broadcast(_packed(side))
+    def matches(side: DataFrame) -> DataFrame:
+        ids, m = _packed(side)
+        shared = rows.sparkSession.sparkContext.broadcast((pa.array(ids, qa), m))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, m = shared.value
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
+            small = m.astype(np.float32)
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
                     continue
-                x, names = _unit(pdf["v"]), pdf["id"].to_numpy(dtype=object)
-                small = x.astype(np.float32).T
-                for s in range(0, len(ids), BLOCK):
-                    a, b = np.nonzero(m[s : s + BLOCK].astype(np.float32) @ small >= np.float32(least - SLACK))
-                    for t in range(0, len(a), PAIRS):
-                        i, j = a[t : t + PAIRS] + s, b[t : t + PAIRS]
-                        g = np.einsum("ij,ij->i", m[i], x[j])
-                        hits = [(ids[p], names[q], c) for p, q, c in zip(i, j, g, strict=True) if least <= c < below and ids[p] != names[q]]
-                        if hits:
-                            yield pd.DataFrame(hits, columns=["q", "id", "cosine"])
-
-        return src.mapInPandas(run, f"q {qt}, id {rt}, cosine double"), shared
-
-    if parts == 1:
-        return matches(side)[0]
+                names, twice = batch.column("id"), batch.column("once").to_numpy(zero_copy_only=False).astype(bool)
+                x = _matrix(batch.column("v"))
+
+                def decided(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+                    for t in range(0, len(i), PAIRS):
+                        p, q = i[t : t + PAIRS], j[t : t + PAIRS]
+                        g = np.einsum("ij,ij->i", m[p], x[q])  # noqa: B023
+                        k = np.flatnonzero((g >= least) & (g < below))
+                        p, q, g = p[k], q[k], g[k]
+                        a, b = ids.take(pa.array(p)), names.take(pa.array(q))  # noqa: B023
+                        if qt == rt:
+                            keep = pc.not_equal(a, b).to_numpy(zero_copy_only=False) & ~(twice[q] & pc.less(a, b).to_numpy(zero_copy_only=False))  # noqa: B023
+                            a, b, g = a.filter(pa.array(keep)), b.filter(pa.array(keep)), g[keep]
+                        if len(g):
+                            yield pa.RecordBatch.from_arrays([a, b, pa.array(g)], ["q", "id", "cosine"])
+
+                found, held = [], 0
+                for r in range(0, len(x), BLOCK):
+                    columns = x[r : r + BLOCK].astype(np.float32).T
+                    wide = columns.shape[1]
+                    for s in range(0, len(ids), BLOCK):
+                        at = np.flatnonzero((small[s : s + BLOCK] @ columns).ravel() >= np.float32(least - SLACK))
+                        if len(at):
+                            found.append((at // wide + s, at % wide + r))
+                            held += len(at)
+                        if held >= PAIRS:
+                            yield from decided(*map(np.concatenate, zip(*found, strict=True)))
+                            found, held = [], 0
+                if found:
+                    yield from decided(*map(np.concatenate, zip(*found, strict=True)))
+
+        return src.mapInArrow(run, f"q {qt}, id {rt}, cosine double")
+
     out = None
     for k in range(parts):
-        found, shared = matches(side.where(F.col("part") == k).select("id", "v"))
-        found = cut(found)
-        shared.destroy()
+        found = matches(side.where(F.col("part") == k).select("id", "v") if parts > 1 else side)
         out = found if out is None else out.unionByName(found)
     return out
 

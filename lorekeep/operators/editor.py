@@ -24,10 +24,8 @@ def duplicate_pairs(batch: DataFrame, rows: DataFrame, least: float = schema.EXA
 
     ``id_a`` is the batch side; of two batch rows the larger id.
     """
-    p = vectors.similar_to(batch, rows, least, below=below)
-    both = p.join(batch.select(F.col("id").alias("id"), F.lit(True).alias("in_batch")), "id", "left")
-    keep = F.coalesce("in_batch", F.lit(False)) & (F.col("q") < F.col("id"))
-    return both.where(~keep).select(F.col("q").alias("id_a"), F.col("id").alias("id_b"), "cosine")
+    both = rows.select("id", "embedding").join(batch.select("id", F.lit(True).alias("b")), "id", "left").withColumn("in_batch", F.coalesce("b", F.lit(False)))
+    return vectors.similar_to(batch, both, least, below=below, once="in_batch").select(F.col("q").alias("id_a"), F.col("id").alias("id_b"), "cosine")
 
 
 def fold_duplicates(pairs: DataFrame, times: DataFrame, by_component: bool = False) -> DataFrame:

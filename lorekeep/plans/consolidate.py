@@ -35,6 +35,7 @@ def _batch(spark: SparkSession, d: str, most: int | None = schema.BATCH) -> Data
 
 def _sides(spark: SparkSession, d: str, most: int | None = schema.BATCH) -> tuple[DataFrame, DataFrame]:
     rows = _active_vectors(load_graph(spark, d))
+    rows = rows if most else cut(rows)  # read three times: counted, packed and compared
     return rows.join(_batch(spark, d, most).select("id"), "id", "left_semi"), rows
 
 
